@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from colscope.llm.common import read
 from colscope.llm.decontaminate import contained_items
 from colscope.llm.line_dedup import line_dedup
+from colscope.llm.sharding import shard, shard_sql
+
+
+def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents")).drop("row")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,8 @@ GROUP BY d.id, i.id HAVING count(*) >= 0.75 * any_value(n.n)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_feistel_shards": op3_feistel_shards,
     "op4_line_dedup": op4_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_feistel_shards": shard_sql(), "op4_line_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL}
