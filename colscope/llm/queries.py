@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm.common import read
+from colscope.llm.common import id_crc, read
 from colscope.llm.decontaminate import contained_items
+from colscope.llm.language import identify, learn_profiles
 from colscope.llm.line_dedup import line_dedup
+from colscope.llm.quality import score_quality, train_quality
 from colscope.llm.sharding import shard, shard_sql
 
 
+def _held_out(folds: int, remainder: int) -> Column:
+    return F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, learn_profiles(docs, folds=3, held=1)).select("doc_id", _held_out(3, 1), "lang_pred", "score")
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents")).drop("row")
 
@@ -39,6 +50,12 @@ FROM documents LEFT JOIN d USING (doc_id, text) LEFT JOIN n USING (doc_id, text)
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = train_quality(docs, read(spark, sf_dir, "labels"), folds=5)
+    return score_quality(docs, model, ["doc_id"]).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -56,8 +73,10 @@ GROUP BY d.id, i.id HAVING count(*) >= 0.75 * any_value(n.n)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_line_dedup": op4_line_dedup,
+    "op7_quality": op7_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op3_feistel_shards": shard_sql(), "op4_line_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL}
