@@ -11,6 +11,7 @@ from colscope.llm.common import id_crc, read
 from colscope.llm.decontaminate import contained_items
 from colscope.llm.language import identify, learn_profiles
 from colscope.llm.line_dedup import line_dedup
+from colscope.llm.packing import pack
 from colscope.llm.quality import score_quality, train_quality
 from colscope.llm.sharding import shard, shard_sql
 
@@ -56,6 +57,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, ["doc_id"]).select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -77,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op3_feistel_shards": shard_sql(), "op4_line_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL}
