@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colscope.llm.common import id_crc, read
 from colscope.llm.decontaminate import contained_items
+from colscope.llm.fingerprint import fingerprint_edits
 from colscope.llm.language import identify, learn_profiles
 from colscope.llm.line_dedup import line_dedup
 from colscope.llm.packing import pack
@@ -25,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn_profiles(docs, folds=3, held=1)).select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents")).drop("row")
 
@@ -85,6 +90,7 @@ GROUP BY d.id, i.id HAVING count(*) >= 0.75 * any_value(n.n)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_lz_fingerprint": op2_lz_fingerprint,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality": op7_quality,
