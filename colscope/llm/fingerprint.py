@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from colscope.llm.common import even_keys
+
 #: Hashes kept in a signature.
 KEPT = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -100,13 +102,6 @@ def hex_of(sig: np.ndarray) -> str:
     return sig.astype(">u4").tobytes().hex()
 
 
-def _even_keys(spark: SparkSession, n: int) -> list[int]:
-    """An integer per partition that Spark's hash partitioning into n partitions sends there."""
-    rows = spark.range(n * (8 + 2 * n.bit_length())).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
-    found = {r["p"]: r["k"] for r in rows}
-    return [found.get(i, i) for i in range(n)]
-
-
 def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     """Rows (bucket, ghost, doc_id, text) in descending doc_id, cut into buckets of nearly equal counts, each followed by
     a ghost of the row that comes next. The texts are shuffled once; quantiles and one id a bucket go through the driver.
@@ -124,7 +119,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     heads = {r["b"]: r["k"] for r in docs.select(key.alias("k")).groupBy(bucket("k").alias("b")).agg(F.max("k").alias("k")).collect()}
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    keys = _even_keys(spark, max(n, partitions))
+    keys = even_keys(spark, max(n, partitions))
     head_rows = spark.createDataFrame([(b, heads[b], before[b], keys[b], keys[before[b]]) for b in order], "b int, head long, before int, slot long, before_slot long")
     placed = docs.select("doc_id", "text", key.alias("k")).withColumn("b", bucket("k")).join(F.broadcast(head_rows), "b")
     copies = F.when(F.col("k") == F.col("head"), F.array(F.struct(F.lit(False).alias("ghost"), F.col("b").alias("bucket"), F.col("slot").alias("slot")), F.struct(F.lit(True).alias("ghost"), F.col("before").alias("bucket"), F.col("before_slot").alias("slot")))).otherwise(

@@ -11,6 +11,7 @@ from colscope.llm.common import id_crc, read
 from colscope.llm.decontaminate import contained_items
 from colscope.llm.fingerprint import fingerprint_edits
 from colscope.llm.html_tree import extract
+from colscope.llm.jaccard import jaccard_components
 from colscope.llm.language import identify, learn_profiles
 from colscope.llm.line_dedup import line_dedup
 from colscope.llm.packing import pack
@@ -61,6 +62,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train_quality(docs, read(spark, sf_dir, "labels"), folds=5)
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_line_dedup": op4_line_dedup,
     "op5_main_text": op5_main_text,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
