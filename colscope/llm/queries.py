@@ -17,6 +17,7 @@ from colscope.llm.line_dedup import line_dedup
 from colscope.llm.packing import pack
 from colscope.llm.quality import score_quality, train_quality
 from colscope.llm.sharding import shard, shard_sql
+from colscope.llm.suffix_dedup import remove_repeats
 
 
 def _held_out(folds: int, remainder: int) -> Column:
@@ -82,6 +83,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op3_feistel_shards": shard_sql(), "op4_line_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL}
