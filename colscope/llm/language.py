@@ -14,40 +14,39 @@ from pyspark.sql import functions as F
 
 from colscope.llm.common import id_crc
 
-#: Longest n-gram, grams in a profile, words whose grams a worker remembers.
-LONGEST, DEPTH, REMEMBERED = 3, 400, 200_000
+#: Grams in a profile (of one to three characters), distinct words that a worker counts before it passes them on.
+DEPTH, REMEMBERED = 400, 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def word_grams(word: str) -> np.ndarray:
-    """The n-grams of a word between blanks, each packed into 21 bits a code point; the blank alone is no gram."""
-    c = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    parts, code = [c[1:-1]], c
-    for n in range(2, LONGEST + 1):
-        code = (code[: len(c) - n + 1] << 21) | c[n - 1 :]
-        parts.append(code)
-    return np.concatenate(parts)
-
-
-class _Grams(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = out = word_grams(word)
-        return out
-
-
-def count_grams(words: Counter, grams: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of counted words, and their counts."""
-    if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    parts = [grams[w] for w in words]
-    codes, weights = np.concatenate(parts), np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
+def gram_codes(words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """All n-grams of the words, each word between blanks, packed into 21 bits a code point; a blank alone is no gram.
+
+    With a weight per word, also the weight of each gram.
+    """
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    blank = c == 32
+    pairs = (c[:-1] << 21) | c[1:]
+    triples = (pairs[:-1] << 21) | c[2:]
+    within, letters = ~blank[1:-1], ~blank
+    codes = np.concatenate([c[letters], pairs, triples[within]])
+    if weights is None:
+        return codes, None
+    of = weights[np.minimum(np.cumsum(blank) - 1, len(words) - 1)]
+    return codes, np.concatenate([of[letters], of[:-1], of[:-2][within]])
+
+
+def count_grams(words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of the words, and their counts."""
+    codes, of = gram_codes(words, weights)
+    if of is None:
+        codes.sort()
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, of = codes[order], of[order]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(weights[order], first)
+    return codes[first], np.diff(np.append(first, len(codes))) if of is None else np.add.reduceat(of, first)
 
 
 @dataclass
@@ -61,7 +60,8 @@ class Profiles:
 
 def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The DEPTH most frequent grams, most frequent first, ties by code."""
-    return codes[np.argsort(-counts, kind="stable")[:DEPTH]]
+    short = counts.max(initial=0) < 1 << 16  # small numbers are sorted by radix
+    return codes[np.argsort((65535 - counts).astype(np.uint16) if short else -counts, kind="stable")[:DEPTH]]
 
 
 def out_of_place(top: np.ndarray, profiles: Profiles) -> np.ndarray:
@@ -73,24 +73,30 @@ def out_of_place(top: np.ndarray, profiles: Profiles) -> np.ndarray:
     return np.where(ranks == DEPTH, DEPTH, off).sum(axis=0) / (DEPTH * len(top))
 
 
-def predict(text: str | None, profiles: Profiles, grams: dict[str, np.ndarray]) -> tuple[str, float]:
-    words = Counter(WORDS.findall((text or "").lower()))
+def predict(text: str | None, profiles: Profiles) -> tuple[str, float]:
+    words = WORDS.findall((text or "").lower())
     if not words or not profiles.langs:
         return UNKNOWN, 0.0
-    distance = out_of_place(ranked(*count_grams(words, grams)), profiles)
+    distance = out_of_place(ranked(*count_grams(words)), profiles)
     best = int(np.argmin(distance))
     return profiles.langs[best], float(1.0 - distance[best])
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = _Grams()
+    words: dict[str, Counter] = defaultdict(Counter)
+
+    def flush(lang: str) -> pa.RecordBatch:
+        counted = words.pop(lang)
+        codes, counts = count_grams(list(counted), np.fromiter(counted.values(), np.int64, len(counted)))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
+
     for batch in batches:
-        words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words[lang].update(WORDS.findall((text or "").lower()))
-        for lang, counted in words.items():
-            codes, counts = count_grams(counted, grams)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
+            if len(words[lang]) > REMEMBERED:
+                yield flush(lang)
+    for lang in [k for k, w in words.items() if w]:
+        yield flush(lang)
 
 
 def learn_profiles(docs: DataFrame, folds: int = 3, held: int = 1) -> Profiles:
@@ -122,9 +128,9 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, known = _Grams(), held.value
+        known = held.value
         for batch in batches:
-            found = [predict(t, known, grams) for t in batch.column("text").to_pylist()]
+            found = [predict(t, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     schema = docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double")
