@@ -1 +1,89 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: from raw documents to packed training sequences, one operator a stage.
+
+Every stage works on all documents that the one before it kept; all but the last return the columns of documents. A
+document is a row; rows that repeat both doc_id and text are one document from the third stage on.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from colscope.llm.common import ensure_checkpoint_dir, read
+from colscope.llm.decontaminate import contained_items
+from colscope.llm.jaccard import jaccard_components
+from colscope.llm.line_dedup import line_dedup
+from colscope.llm.packing import pack
+from colscope.llm.quality import score_quality, train_quality
+from colscope.llm.queries import tokenizer_path
+
+
+def _key() -> Column:
+    """What names a document: id and text, ids before nulls."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+
+
+def _matches(key: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(f"{key}.id")) & (F.xxhash64("text") == F.col(f"{key}.th"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the classifier, learned from the labels, does not reject."""
+    model = train_quality(docs, read(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove later occurrences of repeated windows of three lines; a document that loses every line goes."""
+    out = line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of similarity 0.75 or more the one of lowest doc_id stays."""
+    groups = jaccard_components(docs.select(_key().alias("doc_id"), "text"))
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k")).distinct()
+    flat = stay.select(F.col("k.id").alias("k_id"), F.col("k.th").alias("k_th"))
+    keyed = docs.withColumn("k_own", F.xxhash64("text"))
+    kept = keyed.join(flat, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_th")))
+    same = Window.partitionBy("doc_id", "k_own").orderBy(F.lit(0))
+    return kept.withColumn("k_row", F.row_number().over(same)).where(F.col("k_row") == 1).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold three quarters or more of a benchmark item's shingles."""
+    found = contained_items(docs.select(_key().alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    tainted = found.select(F.col("doc_id").alias("k")).distinct()
+    return docs.join(tainted, _matches("k"), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenize and pack what is left into sequences of 4096 tokens: a row per piece."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard", near_copies),
+    ("decontaminate", decontaminate),
+    ("packing", packed),
+]
+
+#: Trained models and tokenization have no SQL form; the tests hold every stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written to the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(path)
+    return docs
