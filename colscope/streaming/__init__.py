@@ -1,0 +1 @@
+"""Nothing streams here: catalogs are read as snapshots. The package marks the place for incremental sources."""
