@@ -8,15 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from colscope.llm.common import cut, even_keys
 from colscope.llm.components import components
 
 WIDTH = 5
 #: Text bytes for each bucket of the token table, text bytes that a worker tokenizes at a time, most tokens of a block.
-BUCKET_BYTES, FLUSH_BYTES, BLOCK_TOKENS = 8 << 20, 8 << 20, 4_000_000
+BUCKET_BYTES, FLUSH_BYTES, BLOCK_TOKENS = 32 << 20, 16 << 20, 4_000_000
 #: Pivots of a block that is too large for one task.
 PIVOTS = 32
 #: DivideSkip's weight of the cost of a merge against that of a probe.
@@ -172,7 +174,9 @@ def _list_column(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> p
 
 
 def _token_rows(bits: int, slots: list[int], doc_type: pa.DataType, width: int):
-    """Tokenize; emit membership rows (doc_id, rec, n) and, per bucket of the token space, packed tokens by record."""
+    """Tokenize; emit membership rows (doc_id, rec, n; bucket -1), a row (rec, n; bucket -2) for each record and, per
+    bucket of the token space, packed tokens by record.
+    """
     low_bits = min(48, 64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +189,8 @@ def _token_rows(bits: int, slots: list[int], doc_type: pa.DataType, width: int):
             yield pa.RecordBatch.from_arrays([place, pa.array([-1] * k, pa.int64()), pa.array(docs, doc_type), pa.array(recs, pa.int64()), pa.array(size, pa.int32()), pa.nulls(k, pa.binary())], names=names)
             if not sets:
                 return
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array([slots[i % len(slots)] for i in range(k)], pa.int32()), pa.array([-2] * k, pa.int64()), pa.nulls(k, doc_type), pa.array(list(sets), pa.int64()), pa.array([len(a) for a in sets.values()], pa.int32()), pa.nulls(k, pa.binary())], names=names)
             ids, arrays = np.fromiter(sets, np.int64, len(sets)), list(sets.values())
             lengths = np.array([len(a) for a in arrays], np.int64)
             tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(ids)), lengths)
@@ -192,14 +198,17 @@ def _token_rows(bits: int, slots: list[int], doc_type: pa.DataType, width: int):
             order = np.argsort(bucket, kind="stable")
             bucket, owner = bucket[order], owner[order]
             low = tokens[order] & np.uint64((1 << low_bits) - 1)
-            run_at = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
-            count = np.diff(np.append(run_at, len(owner))).astype(np.uint32)
+            edge = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])])
+            run_at = np.flatnonzero(edge)
+            inside = np.arange(len(owner)) - np.repeat(run_at, np.diff(np.append(run_at, len(owner))))
+            run_at = np.flatnonzero(inside % 65535 == 0)  # counts take 16 bits; longer runs go on in another
+            count = np.diff(np.append(run_at, len(owner))).astype(np.uint16)
             run_bucket, run_owner = bucket[run_at], owner[run_at]
             first = np.flatnonzero(np.concatenate([[True], run_bucket[1:] != run_bucket[:-1]]))
             blobs = []
             for a, b in zip(first, np.append(first[1:], len(run_bucket)), strict=True):
                 x, y = run_at[a], run_at[b] if b < len(run_at) else len(low)
-                blobs.append(b"".join([np.uint32(b - a).tobytes(), ids[run_owner[a:b]].tobytes(), lengths[run_owner[a:b]].astype(np.uint32).tobytes(), count[a:b].tobytes(), (low[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low[x:y] >> np.uint64(32)).astype(np.uint16).tobytes()]))
+                blobs.append(b"".join([np.uint32(b - a).tobytes(), ids[run_owner[a:b]].tobytes(), count[a:b].tobytes(), (low[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low[x:y] >> np.uint64(32)).astype(np.uint16).tobytes()]))
             k = len(first)
             which = run_bucket[first].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([slots[b] for b in which], pa.int32()), pa.array(which), pa.nulls(k, doc_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(blobs, pa.binary())], names=names)
@@ -225,12 +234,13 @@ def _token_rows(bits: int, slots: list[int], doc_type: pa.DataType, width: int):
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records, how many tokens of each follow, and the tokens."""
     k = int(np.frombuffer(blob, np.uint32, 1)[0])
-    ids, sizes, count = np.frombuffer(blob, np.int64, k, 4), np.frombuffer(blob, np.uint32, k, 4 + 8 * k), np.frombuffer(blob, np.uint32, k, 4 + 12 * k)
-    total, at = int(count.sum()), 4 + 16 * k
+    ids, count = np.frombuffer(blob, np.int64, k, 4), np.frombuffer(blob, np.uint16, k, 4 + 8 * k).astype(np.int64)
+    total, at = int(count.sum()), 4 + 10 * k
     low = np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | (np.frombuffer(blob, np.uint16, total, at + 4 * total).astype(np.uint64) << np.uint64(32))
-    return ids, sizes, count, low
+    return ids, count, low
 
 
 def _shared_tokens(bits: int, doc_type: pa.DataType):
@@ -239,14 +249,12 @@ def _shared_tokens(bits: int, doc_type: pa.DataType):
 
     def bucket_rows(bucket: int, blobs: list[bytes]) -> pa.RecordBatch | None:
         parts = [_unpack(b) for b in blobs]
-        ids, sizes, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        low = np.concatenate([p[3] for p in parts])
-        _, once = np.unique(ids, return_index=True)
-        fresh = np.zeros(len(ids), bool)
-        fresh[once] = True
-        owner = np.repeat(np.arange(len(ids)), count)
-        keep = fresh[owner]
-        owner, low = owner[keep], low[keep]
+        ids, first, run = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        count, low = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        # a record that several workers met is taken from the first of their blobs
+        blob = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        keep = np.repeat(blob == blob[first][run], count)
+        owner, low = np.repeat(run, count)[keep], low[keep]
         order = np.argsort(low, kind="stable")
         owner, low = owner[order], low[order]
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
@@ -260,17 +268,17 @@ def _shared_tokens(bits: int, doc_type: pa.DataType):
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         token = ((np.uint64(bucket) << np.uint64(64 - bits)) if bits else np.uint64(0)) | low
         k = len(at)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, doc_type), pa.array(ids[owner[at]]), pa.array(sizes[owner[at]].astype(np.int32)), _list_column(token.view(np.int64), at, pa.int64()), _list_column(df.astype(np.int32), at, pa.int32())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, doc_type), pa.array(ids[owner[at]]), pa.nulls(k, pa.int32()), _list_column(token.view(np.int64), at, pa.int64()), _list_column(df.astype(np.int32), at, pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = -1, []
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
-            member = pa.array(buckets < 0)
-            rows = batch.filter(member)
-            if rows.num_rows:
-                k = rows.num_rows
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rec"), rows.column("n"), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], names=names)
+            for kind in (-1, -2):
+                rows = batch.filter(pa.array(buckets == kind))
+                if k := rows.num_rows:
+                    lists = [pa.nulls(k, pa.list_(t)) if kind == -1 else _list_column(np.empty(0), np.zeros(k, np.int32), t) for t in (pa.int64(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rec"), rows.column("n"), *lists], names=names)
             for i in np.flatnonzero(buckets >= 0):
                 if buckets[i] != now and blobs:
                     if (out := bucket_rows(now, blobs)) is not None:
@@ -303,17 +311,22 @@ def _active_records(doc_type: pa.DataType):
             if rest.num_rows:
                 lists = rest.column("tokens")
                 length = lists.value_lengths().to_numpy()
-                recs.append(np.repeat(rest.column("rec").to_numpy(), length))
-                sizes.append(np.repeat(rest.column("n").to_numpy(), length))
+                rec = rest.column("rec").to_numpy()
+                recs.append(np.repeat(rec, length))
+                sizes.append(np.stack([rec[length == 0], rest.column("n").fill_null(0).to_numpy()[length == 0]]))
                 tokens.append(lists.flatten().to_numpy())
                 dfs.append(rest.column("dfs").flatten().to_numpy())
         if not recs:
             return
-        rec, size, token, df = (np.concatenate(x) for x in (recs, sizes, tokens, dfs))
+        rec, token, df = (np.concatenate(x) for x in (recs, tokens, dfs))
         order = np.lexsort((token, df, rec))
-        rec, size, token = rec[order], size[order].astype(np.int64), token[order]
+        rec, token = rec[order], token[order]
+        if not len(rec):
+            return
         at = np.flatnonzero(np.concatenate([[True], rec[1:] != rec[:-1]]))
-        length, n = np.diff(np.append(at, len(rec))), size[at]
+        size = np.concatenate(sizes, axis=1)
+        size = size[:, np.argsort(size[0], kind="stable")]
+        length, n = np.diff(np.append(at, len(rec))), size[1][np.searchsorted(size[0], rec[at])].astype(np.int64)
         prefix = length - least_overlap(n) + 1
         active = prefix > 0
         keep = np.repeat(active, length)
@@ -390,8 +403,6 @@ def _chunk_pairs(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _by_block():
-    from pyspark.sql import Window
-
     return Window.partitionBy("block").orderBy(F.xxhash64("rec"))
 
 
@@ -414,11 +425,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block_tokens: int =
     bits = min(24, max(3, math.ceil(math.log2(max(1, held / BUCKET_BYTES)))))
     buckets = 1 << bits
     slots = even_keys(spark, buckets)
-    schema = docs.select("doc_id").schema
-    id_type = schema["doc_id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(schema["doc_id"].dataType)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    arrow = to_arrow_type(StructType.fromDDL(f"doc_id {id_type}")["doc_id"].dataType)
     tokens = docs.select("doc_id", "text").mapInArrow(_token_rows(bits, slots, arrow, width), f"slot int, bucket long, doc_id {id_type}, rec long, n int, blob binary")
     shared = tokens.repartition(buckets, "slot").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(bits, arrow), f"doc_id {id_type}, rec long, n int, tokens array<long>, dfs array<int>")
     by_record = shared.repartition(buckets, F.when(F.col("tokens").isNull(), F.xxhash64("doc_id")).otherwise(F.col("rec"))).mapInArrow(_active_records(arrow), f"doc_id {id_type}, rec long, n int, prefix int, tokens array<long>")
