@@ -75,6 +75,10 @@ def _scaled(column: Column, stats: list[tuple[float, float]], weight: float, zsc
     return F.array(*[((column[i].cast("double") - F.lit(m)) / F.lit(s or 1.0) / F.lit(whole)) * F.lit(weight) for i, (m, s) in enumerate(stats)])
 
 
+def _times(column: str, factor: float) -> Column:
+    return F.transform(column, lambda x: x * F.lit(factor))
+
+
 def zscore(df: DataFrame, block: str, out: str) -> DataFrame:
     return df.withColumn(out, _scaled(F.col(block), _statistics(df, [block])[block], 1.0, zscore_only=True))
 
@@ -116,7 +120,7 @@ def fuse(df: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, mode: str
     for name, (block, weight) in zip(names, present, strict=True):
         if block == "e_conflict":
             whole = sum((s or 0.0) ** 2 for _, s in stats[name]) ** 0.5 or 1.0
-            parts.append(F.transform(name, lambda x, whole=whole, weight=weight: x / F.lit(whole) * F.lit(weight)))
+            parts.append(_times(name, weight / whole))
         else:
             parts.append(_scaled(F.col(name), stats[name], weight, zscore_only=mode == "zscore"))
     return df.withColumn(out, F.concat(*parts)).drop("_conflict")

@@ -106,7 +106,8 @@ def label_scores(named: DataFrame, truth: str, by: list[str] | None = None) -> D
     sides = cells.select(*keys, F.col("t").alias("label"), "n", F.lit(0).cast("long").alias("m"), hit.alias("tp")).unionAll(cells.select(*keys, F.col("p").alias("label"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))
     each = sides.groupBy(*keys, "label").agg(F.sum("n").alias("support"), F.sum("m").alias("named"), F.sum("tp").alias("tp"))
     f1 = 2.0 * F.col("tp") / (F.col("support") + F.col("named"))
-    return each.groupBy(*keys).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(f1).alias("f1_macro")).drop(_ALL)
+    out = each.groupBy(*keys).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(f1).alias("f1_macro"))
+    return out if by else out.drop(_ALL)
 
 
 def score(df: DataFrame, truth: str, cluster: str, pos: str, table: str | None = None, by: list[str] | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def late_fusion(views: DataFrame, threshold: float = 0.5, linkage: str = "averag
                 m[i, place[p["b"]]] = m[place[p["b"]], i] = p["share"]
         return pdf[["key"]].assign(cluster=kernels.consensus(m, threshold, linkage).astype("int32"))
 
-    return keys.join(lists, "key", "left").groupBy(F.lit(0)).applyInPandas(run, "key long, cluster int")
+    return keys.join(lists, "key", "left").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "key long, cluster int")
 
 
 def alpha_sweep(ds: DataFrame, base: tuple[float, ...], alphas: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
