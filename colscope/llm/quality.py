@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from colscope.llm.common import id_crc
 
 #: Hashed feature space, longest n-gram in bytes and in words, labelled rows that training reads at most.
-BITS, LONGEST, REPEATS, TRAIN_ROWS = 18, 4, 6, 8000
+BITS, LONGEST, REPEATS, TRAIN_ROWS = 18, 4, 6, 4000
 THRESHOLD = 0.3
 
 
@@ -69,11 +69,12 @@ def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.nda
     Each step solves one dual variable exactly within [0, cost].
     """
     w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    scaled = [ratio[f] / max(np.linalg.norm(ratio[f]), 1e-9) for f in rows]
+    scale = [1.0 / max(float(np.linalg.norm(ratio[f])), 1e-9) for f in rows]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            f, x = rows[i], scaled[i]
+            f = rows[i]
+            x = ratio[f] * scale[i]
             gradient = y[i] * (w[f] @ x + b) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), cost)
             if new != alpha[i]:
@@ -130,19 +131,21 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(f, pa.binary())], names=["quality", "f"])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, folds: int = 5) -> Model:
+def train_quality(docs: DataFrame, labels_table: DataFrame, train_rows: int = TRAIN_ROWS, folds: int = 5) -> Model:
     """Fit on at most ``train_rows`` labelled documents whose crc32(doc_id as text) mod ``folds`` is not 0.
 
     The sample is the labels with the lowest hash of doc_id, so it does not hang on the order of the rows. Rows with a
     null id or label teach nothing.
     """
-    usable = labels.where(F.col("quality").isNotNull() & (F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0)).select(F.col("doc_id").alias("l_id"), "quality")
+    usable = labels_table.where(F.col("quality").isNotNull() & (F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0)).select(F.col("doc_id").alias("l_id"), "quality")
     sample = usable.dropDuplicates(["l_id"]).orderBy(F.xxhash64(F.lit(11), "l_id"), "l_id").limit(train_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("text", "quality")
-    got = chosen.mapInArrow(_feature_rows, "quality int, f binary").toPandas()
-    rows = [np.frombuffer(x, np.int32) for x in got["f"]]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), int(got["quality"].iloc[i])))
-    return fit([rows[i] for i in order], got["quality"].to_numpy()[order] if len(rows) else np.zeros(0))
+    got = sorted((bytes(f), y) for y, f in chosen.mapInArrow(_feature_rows, "quality int, f binary").toLocalIterator())
+    ends = np.cumsum([len(f) // 4 for f, _ in got])[:-1]
+    labels = np.array([y for _, y in got])
+    flat = np.frombuffer(b"".join([f for f, _ in got]), np.int32)
+    got.clear()
+    return fit(np.split(flat, ends) if len(labels) else [], labels)
 
 
 def score_quality(docs: DataFrame, model: Model, keep_columns: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

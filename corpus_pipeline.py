@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.common import ensure_checkpoint_dir, read
+from colscope.llm.common import cut, ensure_checkpoint_dir, read
 from colscope.llm.decontaminate import contained_items
 from colscope.llm.jaccard import jaccard_components
 from colscope.llm.line_dedup import line_dedup
@@ -20,14 +20,23 @@ from colscope.llm.packing import pack
 from colscope.llm.quality import score_quality, train_quality
 from colscope.llm.queries import tokenizer_path
 
+#: Keys of documents up to this number (some 40 bytes each) are broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def _key() -> Column:
     """What names a document: id and text, ids before nulls."""
     return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
 
 
-def _matches(key: str) -> Column:
-    return F.col("doc_id").eqNullSafe(F.col(f"{key}.id")) & (F.xxhash64("text") == F.col(f"{key}.th"))
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose key is not in ``keys`` (one column k, no repeats).
+
+    Keys are counted first: up to BROADCAST_ROWS go to every executor and the texts stay where they are; more are joined
+    by shuffling both sides.
+    """
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.xxhash64("text") == F.col("k.th")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,20 +54,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of similarity 0.75 or more the one of lowest doc_id stays."""
-    groups = jaccard_components(docs.select(_key().alias("doc_id"), "text"))
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k")).distinct()
-    flat = stay.select(F.col("k.id").alias("k_id"), F.col("k.th").alias("k_th"))
-    keyed = docs.withColumn("k_own", F.xxhash64("text"))
-    kept = keyed.join(flat, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_th")))
-    same = Window.partitionBy("doc_id", "k_own").orderBy(F.lit(0))
-    return kept.withColumn("k_row", F.row_number().over(same)).where(F.col("k_row") == 1).select(*docs.columns)
+    groups = cut(jaccard_components(docs.select(_key().alias("doc_id"), "text")))
+    sizes = groups.groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n"), F.first(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    away = cut(sizes.where(~F.col("stays") | (F.col("n") > 1)))
+    kept = _without(docs, away.select("k"))
+    repeated = away.where("stays").select("k")
+    if repeated.isEmpty():
+        return kept
+    rows = docs.withColumn("_th", F.xxhash64("text")).join(repeated, F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("_th") == F.col("k.th")), "left_semi")
+    one = rows.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(0)))).where("_r = 1")
+    return kept.unionByName(one.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold three quarters or more of a benchmark item's shingles."""
     found = contained_items(docs.select(_key().alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    tainted = found.select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(tainted, _matches("k"), "left_anti")
+    return _without(docs, cut(found.select(F.col("doc_id").alias("k")).distinct()))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
