@@ -32,15 +32,14 @@ def jdbc_views(spark: SparkSession, options: dict[str, str], owner: str | None =
     reader = spark.read.format("jdbc").options(**options)
     try:
         name = normal_owner(owner) if owner else reader.option("query", "SELECT USER AS u FROM dual").load().first()[0]
+        quoted, out = name.replace("'", "''"), {}
+        for view, columns in VIEW_COLUMNS.items():
+            key = columns.split()[0]
+            # referenced keys may belong to other owners, so constraints are read whole
+            where = "" if view in ("all_constraints", "all_cons_columns") else f" WHERE {key} = '{quoted}'"
+            out[view] = lower_columns(reader.option("query", f"SELECT {', '.join(columns.split())} FROM {view}{where}").load())
     except Exception as e:  # the driver's errors have no common class
         raise ConnectionFailed(f"the catalog cannot be read: {e}") from e
-    quoted = name.replace("'", "''")
-    # referenced keys may belong to other owners, so constraints are read whole
-    out = {}
-    for view, columns in VIEW_COLUMNS.items():
-        key = columns.split()[0]
-        where = "" if view in ("all_constraints", "all_cons_columns") else f" WHERE {key} = '{quoted}'"
-        out[view] = lower_columns(reader.option("query", f"SELECT {', '.join(columns.split())} FROM {view}{where}").load())
     return out, name
 
 
@@ -180,8 +179,8 @@ def catalog(views: Views, owner: str) -> DataFrame:
 
 def catalog_json(catalog_rows: DataFrame) -> DataFrame:
     """Per table its nested JSON; only tables and their columns are in it."""
-    hidden = ("table_name", "row_count_approx", "table_comment")
-    fields = F.struct(*[c for c in ["pos", *catalog_rows.columns] if c not in hidden and (c != "pos" or "pos" in catalog_rows.columns)][:1], *[c for c in catalog_rows.columns if c not in (*hidden, "pos")])
+    hidden = ("table_name", "row_count_approx", "table_comment", "pos")
+    fields = F.struct("pos", *[c for c in catalog_rows.columns if c not in hidden])
     nested = catalog_rows.groupBy("table_name", "row_count_approx", "table_comment").agg(F.array_sort(F.collect_list(fields)).alias("columns"))
     return nested.select("table_name", F.to_json(F.struct("table_name", "table_comment", "row_count_approx", "columns")).alias("json"))
 
