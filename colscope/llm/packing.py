@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from colscope.llm.common import cut
 from colscope.llm.sharding import number_rows
@@ -96,7 +97,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    return docs.select("doc_id", "text").mapInArrow(run, schema.add("ids", "array<int>") if with_ids else schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema.add("ids", ArrayType(IntegerType())) if with_ids else schema)
 
 
 @dataclass

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from colscope.llm.common import cut
 
@@ -329,7 +330,7 @@ def _part_strings(width: int):
                 while at < w:
                     block = (off - at) // width
                     end = min(w, off - block * width + 1)
-                    shared = data[off - block * width : max(0, off - block * width - width + 1) + SPAN]
+                    shared = data[off - block * width : off - block * width - width + 1 + SPAN]
                     name = xxhash.xxh3_64_intdigest(b"%d %d " % (key, block) + shared) - (1 << 63)
                     out.append((name, h, r, base + at, end - at, off - at, data[at : end + SPAN - 1]))
                     at = end
@@ -478,7 +479,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
     if keep_bytes:
-        schema = schema.add("spans", "array<struct<s:bigint,e:bigint>>").add("kept", "binary")
+        schema = StructType(schema.fields + StructType.fromDDL("spans array<struct<s:bigint,e:bigint>>, kept binary").fields)
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))
     if keep_bytes:
         return base.join(ranges, same, "left").select("doc_id", "text", "ranges").mapInArrow(_remove(True), schema)
