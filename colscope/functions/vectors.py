@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.constants import CATEGORY, CONCEPTS, FAMILIES
 from colscope.functions.types import category, concepts_allowed
 
 
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once a row: the optimizer copies a projection into every place that reads it, but not
+    across a generator.
+    """
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 

@@ -11,7 +11,7 @@ from colscope.functions import types
 from colscope.functions.constants import CONCEPTS, TEMPERATURE, WORDINGS
 from colscope.functions.embedding import Embedder, encode_distinct
 from colscope.functions.text import clean_name, content_words, document, document_abbreviations
-from colscope.functions.vectors import anchor_block, conflict_block, emptiness, literal_matrix, similarities, type_mismatch, unit
+from colscope.functions.vectors import anchor_block, conflict_block, emptiness, hold, literal_matrix, similarities, type_mismatch, unit
 from colscope.operators.features import attach_table_block, divergence, table_stats
 
 
@@ -28,9 +28,11 @@ def build_blocks(catalog: DataFrame, make: Callable[[], Embedder], text: str = "
         return literal_matrix([[float(x) for x in v] for v in embedder.encode(list(texts.values()))])
 
     rows = catalog.withColumns({"document": document(include_table_comment, prefix), "name_text": clean_name(F.col("column_name"), document_abbreviations())})
-    rows = rows.withColumns({"e_type": types.type_block(F.col("data_type")), "e_rest": types.constraint_block(), "e_stat": types.stat_block(F.col("data_length")), "_declared": types.declared_family()})
+    rows = rows.withColumns({"e_type": types.type_block(F.col("data_type")), "e_rest": types.constraint_block(), "e_stat": types.stat_block(F.col("data_length"))})
+    rows = hold(rows, _declared=types.declared_family())
     rows = encode_distinct(rows, "name_text", make, "_name").withColumn("e_name", unit(F.col("_name")))
-    concepts = similarities(F.col("_name"), prototypes(CONCEPTS))
+    rows = hold(rows, _concepts=similarities(F.col("_name"), prototypes(CONCEPTS)))
+    concepts = F.col("_concepts")
     if text == "anchors":
         rows = rows.withColumn("e_text", anchor_block(concepts, F.col("data_type")))
     else:
@@ -38,7 +40,8 @@ def build_blocks(catalog: DataFrame, make: Callable[[], Embedder], text: str = "
         if mismatch:
             rows = rows.withColumn("e_text", F.concat("e_text", F.array(type_mismatch(concepts, F.col("data_type")))))
     for name, family in wordings.items():
-        sims = similarities(F.col("_name"), prototypes(family))
+        rows = hold(rows, **{f"_sims_{name}": similarities(F.col("_name"), prototypes(family))})
+        sims = F.col(f"_sims_{name}")
         rows = rows.withColumn(f"e_conflict_{name}", conflict_block(sims, F.col("_declared"), F.col("is_primary_key"), F.col("is_foreign_key"), mode, temperature))
         if name == next(iter(wordings)):
             rows = rows.withColumn("_emptiness", emptiness(sims))
@@ -47,7 +50,7 @@ def build_blocks(catalog: DataFrame, make: Callable[[], Embedder], text: str = "
     words = encode_distinct(rows.select(F.explode(content_words(F.col("name_text"))).alias("word")).distinct(), "word", make, "vector")
     spread = divergence(rows, "pos", "name_text", words)
     rows = rows.join(spread, "pos").withColumn("name_intrinsic", F.array("_emptiness", "divergence"))
-    return attach_table_block(rows, table_stats(catalog)).drop("_name", "_declared", "_emptiness", "divergence")
+    return attach_table_block(rows, table_stats(catalog)).drop("_name", "_declared", "_emptiness", "divergence", "_concepts", *[f"_sims_{w}" for w in wordings])
 
 
 def use_wording(blocks: DataFrame, wording: str) -> DataFrame:

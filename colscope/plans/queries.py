@@ -414,7 +414,8 @@ def generic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_catalog(spark: SparkSession) -> DataFrame:
-    return catalog_rows(spark).withColumn("name_text", text.clean_name(F.col("column_name"), ES)).withColumn("_v", letter_counts(F.col("name_text")))
+    rows = vectors.hold(catalog_rows(spark), name_text=text.clean_name(F.col("column_name"), ES))
+    return vectors.hold(rows, _v=letter_counts(F.col("name_text")))
 
 
 def prototypes(texts: dict[str, str]):
@@ -443,7 +444,7 @@ SELECT pos::INTEGER AS pos, unnest(range(0, 14))::INTEGER AS dim, round(unnest(v
 
 @query("conflict_block_hard", _conflict_sql("list_transform(range(1, 7), lambda i: (i = list_position(sims, list_max(sims)))::INT::DOUBLE)", "list_reverse_sort(sims)[1] - list_reverse_sort(sims)[2]"))
 def conflict_block_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named_catalog(spark).withColumn("sims", vectors.similarities(F.col("_v"), prototypes(ORIG))).withColumn("declared", types.declared_family())
+    rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(ORIG)), declared=types.declared_family())
     return flat(rows.withColumn("v", vectors.conflict_block(F.col("sims"), F.col("declared"), F.col("is_primary_key"), F.col("is_foreign_key"))), ["pos"], "v")
 
 
@@ -452,7 +453,7 @@ SOFT = f"list_transform(list_transform(sims, lambda x: exp((x - list_max(sims))
 
 @query("conflict_block_soft", _conflict_sql(SOFT, "-list_sum(list_transform(expected, lambda p: p * ln(p + 1e-12)))"))
 def conflict_block_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named_catalog(spark).withColumn("sims", vectors.similarities(F.col("_v"), prototypes(ORIG))).withColumn("declared", types.declared_family())
+    rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(ORIG)), declared=types.declared_family())
     return flat(rows.withColumn("v", vectors.conflict_block(F.col("sims"), F.col("declared"), F.col("is_primary_key"), F.col("is_foreign_key"), "soft", TEMPERATURE)), ["pos"], "v")
 
 
@@ -463,19 +464,19 @@ MISMATCH_SQL = "CASE " + " ".join(f"WHEN {_CATEGORY_SQL} = '{c}' THEN greatest(0
 
 @query("anchor_block", f"{sims_sql(CONCEPTS)} SELECT pos::INTEGER AS pos, unnest(range(0, 12))::INTEGER AS dim, round(unnest(list_concat(sims, [{MISMATCH_SQL}])), 6) AS value FROM s")
 def anchor_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named_catalog(spark).withColumn("sims", vectors.similarities(F.col("_v"), prototypes(CONCEPTS)))
+    rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(CONCEPTS)))
     return flat(rows.withColumn("v", vectors.anchor_block(F.col("sims"), F.col("data_type"))), ["pos"], "v")
 
 
 @query("type_mismatch", f"{sims_sql(CONCEPTS)} SELECT pos::INTEGER AS pos, round({MISMATCH_SQL}, 6) AS mismatch FROM s")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named_catalog(spark).withColumn("sims", vectors.similarities(F.col("_v"), prototypes(CONCEPTS)))
+    rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(CONCEPTS)))
     return rounded(rows.select("pos", vectors.type_mismatch(F.col("sims"), F.col("data_type")).alias("mismatch")), "mismatch")
 
 
 @query("emptiness", f"{sims_sql(ORIG)} SELECT pos::INTEGER AS pos, round(1 - list_max(sims), 6) AS emptiness FROM s")
 def emptiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named_catalog(spark).withColumn("sims", vectors.similarities(F.col("_v"), prototypes(ORIG)))
+    rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(ORIG)))
     return rounded(rows.select("pos", vectors.emptiness(F.col("sims")).alias("emptiness")), "emptiness")
 
 
