@@ -6,7 +6,10 @@ Rows carry ``key`` (long, whose order breaks ties) and ``vector``. Distances are
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,24 +29,81 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a block; a task holds two blocks and the distances between them.
+BLOCK = 512
+
+
+def _field(name: str) -> Column:
+    return F.transform("_r", lambda x: x[name]).alias(name)
+
+
+def _blocks(df: DataFrame, extra: list[str], by: list[str], band: Column | None = None) -> DataFrame:
+    """Rows packed into blocks: keys, flattened vectors and extra columns as arrays, with the width of a vector.
+
+    With ``band``, blocks hold rows of one band.
+    """
+    total = df.count()
+    parts = max(1, -(-total // BLOCK))
+    group = [*by, *(["_band"] if band is not None else [])]
+    rows = df.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    rows = rows if band is None else rows.withColumn("_band", band)
+    packed = rows.groupBy(*group, "_part").agg(F.array_sort(F.collect_list(F.struct("key", F.col("vector").cast("array<double>").alias("vector"), *extra))).alias("_r"))
+    return packed.select(*group, F.transform("_r", lambda x: x["key"]).alias("key"), F.flatten(F.transform("_r", lambda x: x["vector"])).alias("x"), F.size(F.col("_r")[0]["vector"]).alias("width"), *[_field(c) for c in extra])
+
+
+def _apart(pairs: DataFrame, run, schema: str, kept: list[str], extra: list[str]) -> DataFrame:
+    """``run`` over every pair of blocks: (kept values, keys, vectors and extras of either side) to columns of a batch."""
+    wanted = [*kept, "key", "x", "width", *extra, "key2", "x2", "width2", *[f"{c}2" for c in extra]]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = {c: batch.column(c)[i] for c in wanted}
+                side = [{"key": at[f"key{n}"].values.to_numpy(), "x": at[f"x{n}"].values.to_numpy().reshape(-1, max(1, at[f"width{n}"].as_py())), **{c: at[f"{c}{n}"].values.to_numpy() for c in extra}} for n in ("", "2")]
+                columns = run([at[c].as_py() for c in kept], *side)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    return pairs.select(*wanted).repartition(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(each, schema)
+
+
+def _second(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}2" for c in df.columns if c not in by})
+
+
+def _distances(a: dict, b: dict) -> np.ndarray:
+    """Euclidean distances, exact for equal keys and free of cancellation near zero."""
+    s, t = (a["x"] * a["x"]).sum(axis=1), (b["x"] * b["x"]).sum(axis=1)
+    d = np.sqrt(np.clip(s[:, None] + t[None, :] - 2 * a["x"] @ b["x"].T, 0, None))
+    for i, j in np.argwhere(d < 1e-5 * np.sqrt(np.maximum(s[:, None] + t[None, :], 1e-300))):
+        d[i, j] = np.sqrt(((a["x"][i] - b["x"][j]) ** 2).sum())
+    d[a["key"][:, None] == b["key"][None, :]] = 0.0
+    return d
+
+
 def close_pairs(df: DataFrame, eps: float, metric: str = "euclidean") -> DataFrame:
     """(a, b, d) of all ordered pairs within ``eps``, each row with itself too.
 
-    An equi-join, not a cross join: lengths of vectors within eps of each other differ by at most eps, so a row only meets
-    rows of its own band of lengths and of the two beside it.
+    Lengths of vectors within eps of each other differ by at most eps, so blocks only meet blocks of their own band of
+    lengths and of the two beside it, by an equi-join on the band; the distances of two blocks are one matrix product.
     """
     if metric == "cosine":
         n = norm(F.col("vector"))
-        df = df.withColumn("vector", F.transform("vector", lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
-        pairs = close_pairs(df, (2 * max(eps, 0.0)) ** 0.5 * (1 + 1e-12) + 1e-12)
+        unit_rows = df.withColumn("vector", F.transform("vector", lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+        pairs = close_pairs(unit_rows, (2 * max(eps, 0.0)) ** 0.5 * (1 + 1e-12) + 1e-12)
         return pairs.withColumn("d", F.col("d") * F.col("d") / 2).where(F.col("d") <= eps)
     if metric != "euclidean":
         raise ClusteringError(f"unknown metric {metric}")
-    band = F.floor(norm(F.col("vector")) / F.lit(max(eps, 1e-12)))
-    left = df.select(F.col("key").alias("a"), F.col("vector").alias("va"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    right = df.select(F.col("key").alias("b"), F.col("vector").alias("vb"), band.alias("band"))
-    near = left.join(right, "band").select("a", "b", F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(distance(F.col("va"), F.col("vb"))).alias("d"))
-    return near.where(F.col("d") <= eps)
+    # a row meets bands beside its own by reaching into them; the margin keeps rounding from parting equal lengths
+    packed = checkpoint(_blocks(df, [], [], F.floor(norm(F.col("vector")) / F.lit(max(eps * (1 + 1e-9), 1e-12)))))
+    left = packed.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+
+    def run(_: list, a: dict, b: dict) -> list[np.ndarray]:
+        d = _distances(a, b)
+        i, j = np.nonzero(d <= eps)
+        return [a["key"][i], b["key"][j], d[i, j]]
+
+    return _apart(left.join(_second(packed, ["_band"]), "_band"), run, "a long, b long, d double", [], [])
 
 
 def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -80,13 +140,20 @@ def dbscan(df: DataFrame, eps: float, min_samples: int | None = None, metric: st
     return df.select("key").join(placed, "key", "left").join(border, "key", "left").select("key", F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(q, key, d, r) of the k nearest points of each query, ties by key.
 
-    Queries go to the points in blocks of rows: a task holds one block of queries and streams over the points.
+    Blocks of queries meet blocks of points; only the k best of a block go on to be ranked.
     """
-    blocked = queries.select(F.col("key").alias("q"), F.col("vector").alias("vq"), (F.xxhash64("key") % 64).alias("block")) if block else queries
-    near = blocked.join(points.select("key", F.col("vector").alias("vp")), F.lit(True)).select("q", "key", distance(F.col("vq"), F.col("vp")).alias("d"))
+
+    def run(_: list, a: dict, b: dict) -> list[np.ndarray]:
+        d = np.round(_distances(a, b), 12)
+        order = np.lexsort((np.broadcast_to(b["key"], d.shape), d), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(d)), order.shape[1])
+        return [a["key"][rows], b["key"][order.ravel()], d[rows, order.ravel()]]
+
+    pairs = _blocks(queries, [], []).join(_second(_blocks(points, [], []), []), F.lit(True))
+    near = _apart(pairs, run, "q long, key long, d double", [], [])
     rank = Window.partitionBy("q").orderBy("d", "key")
     return near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
 
@@ -113,13 +180,19 @@ def co_association(views: DataFrame) -> DataFrame:
 def silhouette(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean Euclidean silhouette of (key, vector, cluster); rows alone in their cluster count 0."""
     keys = by or []
-    a = df.select(*keys, F.col("key").alias("a"), F.col("cluster").alias("ca"), F.col("vector").alias("va"))
-    b = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("key").alias("b"), F.col("cluster").alias("cb"), F.col("vector").alias("vb"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    on: Column = F.lit(True)
-    for s in same:
-        on = on & s
-    sums = a.join(b, on).groupBy(*keys, "a", "ca", "cb").agg(F.sum(distance(F.col("va"), F.col("vb"))).alias("s"), F.count("*").alias("n"))
+    packed = checkpoint(_blocks(df.withColumn("cluster", F.col("cluster").cast("long")), ["cluster"], keys))
+    kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def run(group: list, a: dict, b: dict) -> list:
+        names, inverse = np.unique(b["cluster"], return_inverse=True)
+        sums = _distances(a, b) @ np.eye(len(names))[inverse]
+        n, m = sums.shape
+        return [*[[g] * (n * m) for g in group], np.repeat(a["key"], m), np.repeat(a["cluster"], m), np.tile(names, n), sums.ravel(), np.tile(np.bincount(inverse, minlength=m), n)]
+
+    second = _second(packed, keys)
+    pairs = packed.join(second, keys) if keys else packed.join(second, F.lit(True))
+    parts = _apart(pairs, run, f"{kinds}a long, ca long, cb long, s double, n long", keys, ["cluster"])
+    sums = parts.groupBy(*keys, "a", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("ca") == F.col("cb"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))))
     size = F.max(F.when(F.col("ca") == F.col("cb"), F.col("n")))
     other = F.min(F.when(F.col("ca") != F.col("cb"), F.col("s") / F.col("n")))
