@@ -18,7 +18,7 @@ from colscope.llm.components import components
 
 WIDTH = 5
 #: Text bytes for each bucket of the token table, text bytes that a worker tokenizes at a time, most tokens of a block.
-BUCKET_BYTES, FLUSH_BYTES, BLOCK_TOKENS = 32 << 20, 16 << 20, 4_000_000
+BUCKET_BYTES, FLUSH_BYTES, BLOCK_TOKENS = 16 << 20, 8 << 20, 4_000_000
 #: Pivots of a block that is too large for one task.
 PIVOTS = 32
 #: DivideSkip's weight of the cost of a merge against that of a probe.
@@ -252,13 +252,15 @@ def _shared_tokens(bits: int, doc_type: pa.DataType):
         ids, first, run = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
         count, low = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         # a record that several workers met is taken from the first of their blobs
-        blob = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        blob = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
         keep = np.repeat(blob == blob[first][run], count)
-        owner, low = np.repeat(run, count)[keep], low[keep]
+        owner, low = np.repeat(run.astype(np.int32), count)[keep], low[keep]
+        del parts, blob, keep
         order = np.argsort(low, kind="stable")
         owner, low = owner[order], low[order]
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        df = np.repeat(np.diff(np.append(start, len(low))), np.diff(np.append(start, len(low))))
+        size = np.diff(np.append(start, len(low))).astype(np.int32)
+        df = np.repeat(size, size)
         shared = df > 1
         if not shared.any():
             return None
