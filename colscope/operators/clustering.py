@@ -19,6 +19,8 @@ from colscope.errors import ClusteringError
 from colscope.functions.constants import MIN_JUDGED
 from colscope.functions.vectors import distance, norm
 from colscope.operators.features import zscore
+from colscope.operators.kernels import cluster
+from colscope.operators.partitions import centroid_vectors, cluster_sizes
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -280,3 +282,29 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
         return df.select("key", F.lit(0).alias("cluster"))
     data = df.select("key", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     return KMeans(k=min(k, n), seed=seed, initSteps=5, maxIter=100).fit(data).transform(data).select("key", F.col("prediction").alias("cluster"))
+
+
+METHODS = ("kmeans", "dbscan", "agglomerative", "meanshift", "hdbscan")
+
+
+def fit_predict(df: DataFrame, method: str, n_clusters: int = 5, seed: int = 42, **options) -> DataFrame:
+    """(key, cluster) by any method of METHODS; no rows give no rows, an unknown method is an error.
+
+    dbscan takes eps (0.5, or `auto` for the knee of the distances to the fifth neighbour), min_samples and metric.
+    """
+    if method not in METHODS:
+        raise ClusteringError(f"unknown method {method}")
+    if df.isEmpty():
+        return df.select("key", F.lit(0).alias("cluster"))
+    if method == "kmeans":
+        return kmeans(df, n_clusters, seed)
+    if method == "dbscan":
+        eps = options.get("eps", 0.5)
+        return dbscan(df, auto_eps(df) if eps == "auto" else eps, options.get("min_samples"), options.get("metric", "euclidean"))
+    return cluster(df, method, **({"k": n_clusters} if method == "agglomerative" else {}), **options)
+
+
+def describe(found: DataFrame, df: DataFrame) -> DataFrame:
+    """Per cluster its size and, but for noise, its mean vector as ``centroid``."""
+    rows = found.join(df, "key")
+    return cluster_sizes(rows, "cluster").join(centroid_vectors(rows, "cluster", "vector"), "cluster", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colscope.errors import CatalogError
 from colscope.functions.constants import FOLDS, RECOMMENDATION, SEED, SEVERITY, TREES
+from colscope.operators.partitions import label_scores
 
 
 def stratified_folds(df: DataFrame, label: str, pos: str, folds: int = FOLDS) -> DataFrame:
@@ -108,3 +109,21 @@ def health_by_label(df: DataFrame, label: str = "label") -> DataFrame:
     conf = F.when(F.isnan("confidence"), None).otherwise(F.col("confidence"))
     penalty = F.col("severity") * F.nanvl(F.coalesce("confidence", F.lit(1.0)), F.lit(1.0))
     return df.groupBy(label).agg(F.count("*").alias("n"), F.max("severity").alias("severity"), F.avg(conf).alias("mean_confidence"), F.sum(penalty).alias("penalty"))
+
+
+def importances(model: RandomForestClassificationModel, n: int = 10) -> list[tuple[int, float]]:
+    """The n most important features, the most important first, ties by place."""
+    values = model.featureImportances.toArray().tolist()
+    return sorted(enumerate(values), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def baseline(df: DataFrame, label: str, pos: str, folds: int = FOLDS, trees: int = TREES) -> DataFrame:
+    """F1 macro and accuracy of the forest's out-of-fold verdicts, fold by fold and over all: fold, n, accuracy, f1_macro."""
+    found = out_of_fold(df, label, pos, folds, trees).withColumn("truth", F.col(label).cast("string"))
+    each = label_scores(found, "truth", ["fold"]).join(found.groupBy("fold").agg(F.count("*").alias("n")), "fold")
+    return each.select("fold", "n", "accuracy", "f1_macro").unionByName(label_scores(found, "truth").select(F.lit(-1).alias("fold"), F.lit(found.count()).alias("n"), "accuracy", "f1_macro"))
+
+
+def rarest(df: DataFrame, label: str, n: int = 4) -> DataFrame:
+    """The n labels of least support, the fewest rows first."""
+    return label_support(df, label).orderBy("support", label).limit(n)

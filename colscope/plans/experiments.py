@@ -161,20 +161,14 @@ def ablation(datasets: dict[str, DataFrame], weights: tuple[float, ...]) -> Data
     return out
 
 
-def compare_algorithms(ds: DataFrame, points: DataFrame, methods: tuple[str, ...] = ("kmeans", "dbscan", "agglomerative", "meanshift", "hdbscan")) -> DataFrame:
+def compare_algorithms(ds: DataFrame, points: DataFrame, methods: tuple[str, ...] = clustering.METHODS) -> DataFrame:
     """One row per algorithm on the same points, k the number of labels; a failure is a row with its message."""
     k = ds.select("label").distinct().count()
-    run: dict[str, Callable[[], DataFrame]] = {
-        "kmeans": lambda: clustering.kmeans(points, k),
-        "dbscan": lambda: clustering.dbscan(points, clustering.auto_eps(points)),
-        "agglomerative": lambda: kernels.cluster(points, "agglomerative", k=k),
-        "meanshift": lambda: kernels.cluster(points, "meanshift"),
-        "hdbscan": lambda: kernels.cluster(points, "hdbscan"),
-    }
     rows = []
     for name in methods:
         try:
-            row = score(ds.join(run[name](), "key"), "label", "cluster", "key", "table_name").select("n_groups", "ari", "nmi", "ami").first()
+            found = clustering.fit_predict(points, name, k, **({"eps": "auto"} if name == "dbscan" else {}))
+            row = score(ds.join(found, "key"), "label", "cluster", "key", "table_name").select("n_groups", "ari", "nmi", "ami").first()
             rows.append((name, row["n_groups"], row["ari"], row["nmi"], row["ami"], None))
         except Exception as e:  # a method that fails is part of the comparison
             rows.append((name, None, None, None, None, str(e)[:200]))

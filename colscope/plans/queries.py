@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import text, types, vectors
-from colscope.functions.constants import ABBREVIATIONS, CANONICAL, CANONICAL_ORDER, CATEGORY, CONCEPT_CATEGORIES, CONCEPTS, DEFAULT_WEIGHTS, FAMILIES, SEVERITY, TEMPERATURE, WORDINGS
+from colscope.functions.constants import ABBREVIATIONS, CANONICAL_ORDER, CATEGORY, CONCEPT_CATEGORIES, CONCEPTS, DEFAULT_WEIGHTS, FAMILIES, SEVERITY, TEMPERATURE, WORDINGS
 from colscope.functions.embedding import LetterCounts, letter_counts
 from colscope.operators import clustering, features, forest, kernels, partitions
 from colscope.operators.reduction import Reducer
@@ -365,6 +365,13 @@ def catalog_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table_comments(v, fixtures.OWNER).select("table_name", F.lit(None).cast("string").alias("column_name"), F.col("table_comment").alias("note")).unionByName(catalog.column_comments(v, fixtures.OWNER).withColumnRenamed("comments", "note"))
 
 
+@query("catalog_rollups", f"""WITH {fixtures.CATALOG_SQL}, t AS (SELECT *, {sql.canonical("data_type")} AS type FROM cat)
+SELECT CASE grouping(table_name, type) WHEN 1 THEN 'table' WHEN 2 THEN 'type' ELSE 'all' END AS level, coalesce(table_name, type, '') AS name, count(*) AS n, count(*) FILTER (is_primary_key) AS primary_keys, count(fk_name) AS foreign_keys, count(*) FILTER (is_unique) AS uniques, count(*) FILTER (nullable) AS nullables
+FROM t GROUP BY GROUPING SETS ((table_name), (type), ())""")
+def catalog_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.rollups(catalog_rows(spark))
+
+
 @query("type_prose", f"WITH {fixtures.CATALOG_SQL} SELECT pos::INTEGER AS pos, {sql.TYPE_PROSE} AS prose FROM ({sql.TYPED})")
 def type_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_rows(spark).select("pos", text.type_prose(F.col("data_type"), F.col("data_length"), F.col("data_precision"), F.col("data_scale")).alias("prose"))
@@ -385,7 +392,7 @@ def column_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_rows(spark).select("pos", text.document().alias("document"))
 
 
-CANON = f"coalesce({sql.mapping(CANONICAL)}[split_part(trim(split_part(upper(coalesce(data_type, '')), '(', 1)), ' ', 1)], 'OTHER')"
+CANON = sql.canonical("data_type")
 
 
 @query("type_onehot", f"WITH {fixtures.CATALOG_SQL}, t AS (SELECT pos, {CANON} AS t FROM cat) SELECT pos::INTEGER AS pos, unnest(range(0, 12))::INTEGER AS dim, unnest(list_transform({CANONICAL_ORDER}, lambda v: (v = t)::INT::DOUBLE)) AS value FROM t")
@@ -468,6 +475,13 @@ def anchor_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.withColumn("v", vectors.anchor_block(F.col("sims"), F.col("data_type"))), ["pos"], "v")
 
 
+@query("conflicting_columns", _conflict_sql("list_transform(range(1, 7), lambda i: (i = list_position(sims, list_max(sims)))::INT::DOUBLE)", "0.0").split("SELECT pos::INTEGER AS pos, unnest(range(0, 14))")[0] + "SELECT pos::INTEGER AS pos, list_max(v[1:6]) > 0.5 AS conflicting FROM b")
+def conflicting_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(ORIG)), declared=types.declared_family())
+    block = vectors.conflict_block(F.col("sims"), F.col("declared"), F.col("is_primary_key"), F.col("is_foreign_key"))
+    return rows.select("pos", vectors.conflicting(block).alias("conflicting"))
+
+
 @query("type_mismatch", f"{sims_sql(CONCEPTS)} SELECT pos::INTEGER AS pos, round({MISMATCH_SQL}, 6) AS mismatch FROM s")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.hold(named_catalog(spark), sims=vectors.similarities(F.col("_v"), prototypes(CONCEPTS)))
@@ -765,6 +779,24 @@ def low_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.low_support(table(spark, sf_dir, "documents"), "n_chars", 3)
 
 
+@query("rarest_labels", "SELECT lang, count(*) AS support FROM documents GROUP BY 1 ORDER BY 2, 1 LIMIT 2")
+def rarest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.rarest(table(spark, sf_dir, "documents"), "lang", 2)
+
+
+@query("robustness_summary", f"WITH {sql.agreement_ctes("SELECT w AS g, label AS t, CASE WHEN vec_id % (w + 2) = 0 THEN 3 ELSE label END AS c FROM embeddings, (SELECT unnest(range(0, 3)) AS w)")} SELECT round(avg(ari), 6) AS mean, round(min(ari), 6) AS low, round(max(ari), 6) AS high, min(n_groups) AS least_groups FROM agree")
+def robustness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).crossJoin(F.broadcast(spark.range(3).select(F.col("id").alias("w"))))
+    rows = rows.withColumn("c", F.when(F.col("key") % (F.col("w") + 2) == 0, 3).otherwise(F.col("label")))
+    return rounded(experiments.summarise_wordings(partitions.agreement(rows, "label", "c", ["w"])), "mean", "low", "high")
+
+
+@query("operating_point", "SELECT c_nationkey AS cell, round(avg(c_acctbal), 6) AS validity FROM customer WHERE c_nationkey <> 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("cell")).agg(F.avg(F.when(F.col("c_nationkey") == 3, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))).alias("validity"))
+    return rounded(experiments.choose_cell(cells), "validity")
+
+
 @query("stratified_folds", """WITH c AS (SELECT quality, count(*) AS n, min(doc_id) AS f FROM labels GROUP BY 1), s AS (SELECT quality, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM c),
 y AS (SELECT quality, unnest(range(st::BIGINT, (st + n)::BIGINT)) % 5 AS fold FROM s), al AS (SELECT quality, fold, count(*) AS k FROM y GROUP BY 1, 2), cu AS (SELECT *, sum(k) OVER (PARTITION BY quality ORDER BY fold) AS upto FROM al),
 r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels)
@@ -823,6 +855,18 @@ def tsne(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Reducer("tsne", 2).fit_transform(points(spark, sf_dir)).select("key", F.posexplode("reduced").alias("dim", "value"))
 
 
+@query("cluster_description")
+def cluster_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir)
+    return clustering.describe(clustering.fit_predict(rows, "hdbscan", min_cluster_size=5, min_samples=2), rows)
+
+
+@query("forest_baseline")
+def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).withColumn("raw", F.col("vector").cast("array<double>"))
+    return forest.baseline(rows, "label", "key", folds=3, trees=20)
+
+
 @query("forest_oof")
 def forest_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).withColumn("raw", F.col("vector").cast("array<double>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from colscope.functions.constants import CANONICAL
+
 
 def agreement_ctes(source: str) -> str:
     """CTEs up to ``agree``(g, n_rows, n_groups, ari, nmi, ami) over a source of (g, t, c)."""
@@ -55,6 +57,10 @@ def mapping(values: dict[str, str]) -> str:
     return "MAP {" + ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in values.items()) + "}"
 
 
+def canonical(data_type: str) -> str:
+    return f"coalesce({mapping(CANONICAL)}[split_part(trim(split_part(upper(coalesce({data_type}, '')), '(', 1)), ' ', 1)], 'OTHER')"
+
+
 def camel(text: str) -> str:
     low, up = "a-záéíóúñ", "A-ZÁÉÍÓÚÑ"
     return f"regexp_replace(regexp_replace({text}, '([{low}])([{up}])', '\\1 \\2', 'g'), '([{up}]+)([{up}][{low}])', '\\1 \\2', 'g')"

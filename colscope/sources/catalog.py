@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.errors import CatalogError, ConnectionFailed
+from colscope.functions.types import canonical_type
 
 Views = Mapping[str, DataFrame]
 
@@ -225,3 +226,12 @@ def infer_foreign_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     met = asked.join(alias, "stem").where(F.col("ref_table") != F.col("table_name"))
     best = Window.partitionBy("table_name", "column_name").orderBy("first", "ref_table")
     return met.withColumn("r", F.row_number().over(best)).where(F.col("r") == 1).select("table_name", "column_name", "ref_table", "ref_column")
+
+
+def rollups(rows: DataFrame) -> DataFrame:
+    """Counts per table, per canonical type and over all, in one pass: level, name, n and how many carry each constraint."""
+    typed = rows.withColumn("type", canonical_type(F.col("data_type")))
+    flags = {"primary_keys": "is_primary_key", "foreign_keys": "is_foreign_key", "uniques": "is_unique", "nullables": "nullable"}
+    counted = typed.groupingSets([["table_name"], ["type"], []], "table_name", "type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), *[F.count_if(F.col(c)).alias(n) for n, c in flags.items()])
+    level = F.when(F.col("g") == 1, "table").when(F.col("g") == 2, "type").otherwise("all")
+    return counted.select(level.alias("level"), F.coalesce("table_name", "type", F.lit("")).alias("name"), "n", *flags)
