@@ -74,6 +74,7 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("#root", 0)]
     pending: list[str] = []
     links = at = 0
+    last = source.rfind(">")  # no tag begins after it
 
     def flush() -> None:
         nonlocal pending
@@ -97,10 +98,11 @@ def parse(source: str) -> Page:
         del stack[k:]
 
     while at < len(source):
-        m = _TOKEN.search(source, at)
-        add(source[at : m.start() if m else len(source)])
+        m = _TOKEN.search(source, at) if at <= last else None
         if m is None:
+            add(source[at:].partition("<!--")[0])  # a comment without an end goes on to the end
             break
+        add(source[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
