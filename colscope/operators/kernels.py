@@ -6,7 +6,6 @@ of distances that grows with the square of the rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
