@@ -221,3 +221,25 @@ def test_health(spark):
     assert forest.health_score(rows.limit(0)).first()["health"] == 100.0
     by = {r["label"]: (r["n"], r["mean_confidence"], r["penalty"]) for r in forest.health_by_label(rows.withColumnRenamed("predicted_label", "label")).collect()}
     assert by == {"eav": (2, 1.0, 6.0), "clean": (1, 0.5, 0.0)}
+
+
+def test_method_registry(spark):
+    df = blobs(spark).select("key", "vector")
+    for method in clustering.METHODS:
+        found = clustering.fit_predict(df, method, 3, **({"eps": "auto"} if method == "dbscan" else {}))
+        assert found.count() == 45 and set(found.columns) == {"key", "cluster"}
+    about = {r["cluster"]: r for r in clustering.describe(clustering.fit_predict(df, "agglomerative", 3), df).collect()}
+    assert {c: r["n"] for c, r in about.items()} == {0: 15, 1: 15, 2: 15} and abs(about[1]["centroid"][0] - 5) < 0.2
+    assert clustering.fit_predict(df.limit(0), "kmeans").count() == 0
+    with pytest.raises(ClusteringError):
+        clustering.fit_predict(df, "odd")
+
+
+def test_forest_baseline(spark):
+    data = blobs(spark).withColumn("raw", F.col("vector"))
+    rows = {r["fold"]: r for r in forest.baseline(data, "label", "key", 3, 10).collect()}
+    assert set(rows) == {-1, 0, 1, 2} and rows[-1]["n"] == 45 and rows[-1]["f1_macro"] > 0.95
+    model, _ = forest.fit_forest(data, "label", 5)
+    best = forest.importances(model, 1)
+    assert len(best) == 1 and best[0][1] >= 0.3
+    assert [r["support"] for r in forest.rarest(data.limit(20), "label", 1).collect()] == [5]
