@@ -363,18 +363,22 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pivot_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label each record with a pivot of its block that it links to, else with itself."""
+    """Rows by (block, salt), pivots first: label each record with a pivot that it links to, else with itself."""
+    now, pivots = None, []
     for batch in batches:
-        labels = []
-        rec, n, lists, pivots = (batch.column(c) for c in ("rec", "n", "tokens", "pivots"))
+        out, labels = [], []
+        block, salt, kind, rec, n, lists = (batch.column(c) for c in ("block", "salt", "kind", "rec", "n", "tokens"))
         for i in range(batch.num_rows):
+            if (block[i].as_py(), salt[i].as_py()) != now:
+                now, pivots = (block[i].as_py(), salt[i].as_py()), []
             own, size, label = lists[i].values.to_numpy(), n[i].as_py(), rec[i].as_py()
-            for p in pivots[i]:
-                if linked(len(np.intersect1d(own, p["tokens"].values.to_numpy(), assume_unique=True)), size, p["n"].as_py()):
-                    label = p["rec"].as_py()
-                    break
-            labels.append(label)
-        yield pa.RecordBatch.from_arrays([batch.column("block"), rec, n, batch.column("tokens"), pa.array(labels, pa.int64())], names=["block", "rec", "n", "tokens", "label"])
+            if kind[i].as_py() == 0:
+                pivots.append((label, size, own))
+                continue
+            out.append(i)
+            labels.append(next((r for r, m, t in pivots if linked(len(np.intersect1d(own, t, assume_unique=True)), size, m)), label))
+        rows = batch.take(pa.array(out, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("block"), rows.column("rec"), rows.column("n"), rows.column("tokens"), pa.array(labels, pa.int64())], names=["block", "rec", "n", "tokens", "label"])
 
 
 def _chunk_pairs(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -384,9 +388,13 @@ def _chunk_pairs(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     records of one label, or of many small ones; two chunks meet unless both hold the same single label. So a block that
     is one big group of near copies costs a few passes over it, not the square of its chunks.
     """
-    few = large.withColumn("r", F.row_number().over(_by_block())).where(F.col("r") <= PIVOTS)
-    pivots = few.groupBy("block").agg(F.collect_list(F.struct("rec", "n", "tokens")).alias("pivots"))
-    labelled = cut(large.select("block", "rec", "n", "tokens").join(pivots, "block").mapInArrow(_pivot_label, "block long, rec long, n int, tokens array<long>, label long"))
+    spread = F.ceil(F.col("s") / F.lit(limit)).cast("int")
+    rows = large.withColumn("parts", spread)
+    few = rows.withColumn("r", F.row_number().over(_by_block())).where(F.col("r") <= PIVOTS)
+    # a block's rows are dealt to several tasks, and its pivots go to each of them, ahead of the rows
+    first = few.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), "rec", "n", "tokens")
+    dealt = rows.select("block", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "rec", "n", "tokens").unionAll(first)
+    labelled = cut(dealt.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "rec").mapInArrow(_pivot_label, "block long, rec long, n int, tokens array<long>, label long"))
     half = limit // 2
     sizes = labelled.groupBy("block", "label").agg(F.sum(F.size("tokens").cast("long")).alias("s"))
     group = sizes.withColumn("g", F.when(F.col("s") > half // 4, F.col("label")))
@@ -447,7 +455,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block_tokens: int =
     given = None
     if total["m"] > block_tokens:
         sized = blocks.join(weight, "block")
-        pairs, given = _chunk_pairs(sized.where(F.col("s") > block_tokens).drop("s"), block_tokens)
+        pairs, given = _chunk_pairs(sized.where(F.col("s") > block_tokens), block_tokens)
         found = sized.where(F.col("s") <= block_tokens).select("block", "rec", "n", "tokens", F.col("rec").alias("label")).withColumn("kind", F.lit(0)).unionAll(pairs.withColumn("kind", F.lit(1)))
         found = found.withColumn("block", F.xxhash64("kind", "block")).drop("kind")
     links = found.repartition(few, "block").sortWithinPartitions("block", "rec").mapInArrow(_block_rows, "u long, v long")
