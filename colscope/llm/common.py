@@ -19,6 +19,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colscope-"))
 
 
+#: Rows and bytes of an Arrow batch of texts, where the session has Spark's defaults (10,000 rows, 64 MB).
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and the JVM beside it hold of the texts at a time; a session's own settings stay."""
+    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64MB"), BATCH_BYTES)):
+        if spark.conf.get(key) in usual:
+            spark.conf.set(key, str(ours))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -37,6 +48,7 @@ def ascii_words(text: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from colscope.llm.common import cut
 from colscope.llm.sharding import number_rows
 
-LENGTH, END_ID, REMEMBERED = 4096, 1, 300_000
+LENGTH, END_ID, REMEMBERED = 4096, 1, 150_000
 #: Texts without these have one code point per lower-case letter, no composition, and Python's white space is Unicode's.
 _UNUSUAL = re.compile("[\x1c-\x1fİɐ-\U0010ffff]|<\\|")
 #: Letters and then marks are two words to the tokenizer.

@@ -140,7 +140,9 @@ def train_quality(docs: DataFrame, labels_table: DataFrame, train_rows: int = TR
     usable = labels_table.where(F.col("quality").isNotNull() & (F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0)).select(F.col("doc_id").alias("l_id"), "quality")
     sample = usable.dropDuplicates(["l_id"]).orderBy(F.xxhash64(F.lit(11), "l_id"), "l_id").limit(train_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("text", "quality")
-    got = sorted((bytes(f), y) for y, f in chosen.mapInArrow(_feature_rows, "quality int, f binary").toLocalIterator())
+    # the shuffle lets the features be made in parallel once; the iterator then takes a part of them at a time
+    made = chosen.mapInArrow(_feature_rows, "quality int, f binary").repartition(4)
+    got = sorted((bytes(f), y) for y, f in made.toLocalIterator())
     ends = np.cumsum([len(f) // 4 for f, _ in got])[:-1]
     labels = np.array([y for _, y in got])
     flat = np.frombuffer(b"".join([f for f, _ in got]), np.int32)

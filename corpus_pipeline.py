@@ -6,13 +6,14 @@ document is a row; rows that repeat both doc_id and text are one document from t
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.common import cut, ensure_checkpoint_dir, read
+from colscope.llm.common import cut, ensure_checkpoint_dir, read, small_batches
 from colscope.llm.decontaminate import contained_items
 from colscope.llm.jaccard import jaccard_components
 from colscope.llm.line_dedup import line_dedup
@@ -29,6 +30,20 @@ def _key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
 
 
+def _shielded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that sees doc_id, text and one struct of all other columns, so that no name of theirs can clash."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
+        out = stage(spark, docs.select("doc_id", "text", row.alias("_row")), sf_dir)
+        return out.select(*[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
+
+    return run
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents whose key is not in ``keys`` (one column k, no repeats).
 
@@ -39,19 +54,24 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.xxhash64("text") == F.col("k.th")), "left_anti")
 
 
+@_shielded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier, learned from the labels, does not reject."""
     model = train_quality(docs, read(spark, sf_dir, "labels"))
     return score_quality(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
 
 
+@_shielded
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove later occurrences of repeated windows of three lines; a document that loses every line goes."""
     out = line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    if "n_chars" in docs.schema["_row"].dataType.names:
+        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_row.n_chars")).cast("long")
+        out = out.withColumn("_row", F.col("_row").withField("n_chars", changed))
+    return out.select(*docs.columns)
 
 
+@_shielded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of similarity 0.75 or more the one of lowest doc_id stays."""
     groups = cut(jaccard_components(docs.select(_key().alias("doc_id"), "text")))
@@ -66,6 +86,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(one.select(*docs.columns))
 
 
+@_shielded
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold three quarters or more of a benchmark item's shingles."""
     found = contained_items(docs.select(_key().alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
@@ -74,6 +95,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenize and pack what is left into sequences of 4096 tokens: a row per piece."""
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 

@@ -76,6 +76,21 @@ def test_stages(spark, tmp_path):
     assert cp.run(spark, folder).count() == last.count()
 
 
+def test_other_columns_pass_through(spark, tmp_path):
+    docs, labels, items = corpus()
+    folder = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = ["score", "predicted", "k", "k_id", "n", "n_removed", "spans", "_th", "_r", "rec", "u", "_row", "d_id", "k_own", "_spans", "th"]
+    rows = [(*d[:2], *[f"{d[0]}:{c}" for c in names]) for d in docs]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in names]]))
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{r['doc_id']}:{c}" for r in got for c in names), name
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     folder = str(tmp_path)
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
