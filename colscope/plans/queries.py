@@ -260,6 +260,15 @@ def subset_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.gather(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), index, "doc_id").select("out_pos", "doc_id", "n_chars")
 
 
+@query("whole_gather", "SELECT ((doc_id * 3 + i) * 48271) % 2147483647 AS out_pos, doc_id, n_chars FROM documents, (SELECT unnest(range(0, 3)) AS i)")
+def whole_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document three times, at positions scattered by a congruence."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    copies = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    index = copies.select("doc_id", (((F.col("doc_id") * 3 + F.col("i")) * 48271) % 2147483647).alias("out_pos"))
+    return features.gather(rows, index, "doc_id").select("out_pos", "doc_id", "n_chars")
+
+
 @query("drop_groups", "SELECT source, count(*) AS n FROM documents WHERE source NOT IN ('src0', 'src3') GROUP BY 1")
 def drop_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumnRenamed("source", "table_name")

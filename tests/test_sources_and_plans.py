@@ -133,6 +133,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_gather_reads_every_document(spark):
+    got = queries.QUERIES["whole_gather"](spark, SF)
+    ids = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
+    times = got.groupBy("doc_id").agg(F.countDistinct("out_pos").alias("n"))
+    assert ids.count() > 100 and [tuple(r) for r in ids.join(times, "doc_id", "left").select("n").distinct().collect()] == [(3,)]
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
