@@ -5,14 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.errors import SchemaQualityError
 from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FOLDS, STRUCTURE_WEIGHTS
 from colscope.operators import forest
 from colscope.operators.features import raw_features, require, without_tables
-from colscope.plans import experiments, report
+from colscope.plans import blind, experiments, report
 from colscope.sources.labels import align_labels, load_labels
 from colscope.sources.sinks import health_rows, read_blocks, write_csv
 
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--without-tables", nargs="*", default=[])
     e.add_argument("--bootstrap", type=int, default=0)
     e.add_argument("--bootstrap-frac", type=float, default=0.8)
+    e.add_argument("--bootstrap-mode", choices=("subsample", "fixed"), default="subsample")
     for flag in ("sweep", "ablation", "baselines", "conflict", "robustness", "two-level", "stability"):
         e.add_argument(f"--{flag}", action="store_true")
     s = verbs.add_parser("score")
@@ -39,11 +40,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def resampled(ds: DataFrame, n: int, share: float) -> str:
+    """Intervals and paired differences with the blind pipeline run again on every resample."""
+    ds = experiments.clustering.checkpoint(blind.inputs(ds))
+    scorers = blind.configurations("e_name" in ds.columns and "name_intrinsic" in ds.columns)
+    rows = experiments.clustering.checkpoint(experiments.bootstrap_pipeline(ds, scorers, n, share))
+    first = next(iter(scorers))
+    pairs = [(x, first) for x in scorers if x != first] + [(x, "conflict mean / ward") for x in scorers if x == "two-level mean"]
+    shown = experiments.compare_intervals(experiments.point_estimates(ds, scorers), rows)
+    head = f"Bootstrap, {n} resamples, the whole pipeline run again on {share:.0%} of the columns; points are of all columns"
+    return f"{head}\n{report.intervals(shown, experiments.compare_differences(rows, pairs))}"
+
+
 def experiment(spark: SparkSession, a: argparse.Namespace) -> str:
     ds = align_labels(read_blocks(spark, a.blocks), load_labels(spark, a.labels)).withColumn("key", F.col("pos").cast("long"))
     ds = without_tables(ds, a.without_tables)
     if a.conflict or a.stability or a.bootstrap:
         require(ds, "e_conflict", "this run")
+    if a.bootstrap and a.bootstrap_mode == "subsample":
+        require(ds, "e_conflict_variants", "this run")
     if a.robustness or a.two_level:
         require(ds, "e_conflict_variants" if a.robustness else "e_name", "this run")
     weights = CONFLICT_WEIGHTS if a.conflict else DEFAULT_WEIGHTS
@@ -64,10 +79,12 @@ def experiment(spark: SparkSession, a: argparse.Namespace) -> str:
         parts.append(report.frame(experiments.two_level_scores(ds, weights)))
     if a.baselines:
         parts.append(report.frame(experiments.compare_algorithms(ds, experiments.reduced(ds, weights))))
-    if a.bootstrap:
+    if a.bootstrap and a.bootstrap_mode == "fixed":
         frozen = {"document": experiments.blind_partition(ds, DEFAULT_WEIGHTS), "conflict": experiments.blind_partition(ds, CONFLICT_WEIGHTS)}
         rows = experiments.clustering.checkpoint(experiments.bootstrap(ds, frozen, a.bootstrap, a.bootstrap_frac))
         parts.append(report.intervals(experiments.intervals(rows, "ari"), experiments.paired_difference(rows, "conflict", "document", "ari")))
+    elif a.bootstrap:
+        parts.append(resampled(ds, a.bootstrap, a.bootstrap_frac))
     if a.csv:
         write_csv(scored, a.csv)
     return "\n\n".join(parts)

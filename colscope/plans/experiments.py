@@ -208,12 +208,19 @@ def bootstrap(ds: DataFrame, partitions: dict[str, DataFrame], n: int = 200, sha
 
 def bootstrap_pipeline(ds: DataFrame, scorers: dict[str, Callable[[pd.DataFrame], dict[str, float]]], n: int = 200, share: float = 0.8, seed: int = 0) -> DataFrame:
     """(config, resample, ari, ami, table_ari) with the whole pipeline run again on every resample, a task each."""
-    drawn = resamples(ds, n, share, seed).join(ds, "key")
+    return _scored(resamples(ds, n, share, seed).join(ds, "key").repartition(max(n, 1), "resample"), scorers)
 
+
+def point_estimates(ds: DataFrame, scorers: dict[str, Callable[[pd.DataFrame], dict[str, float]]]) -> DataFrame:
+    """(config, ari, ami, table_ari) of the pipeline on all rows."""
+    return _scored(ds.withColumn("resample", F.lit(-1)), scorers).drop("resample")
+
+
+def _scored(drawn: DataFrame, scorers: dict[str, Callable[[pd.DataFrame], dict[str, float]]]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        rows = [{"config": name, "resample": int(pdf["resample"].iloc[0]), **{m: s(pdf).get(m, math.nan) for m in ("ari", "ami", "table_ari")}} for name, s in scorers.items()]
-        return pd.DataFrame(rows)
+        pdf = pdf.sort_values("key").reset_index(drop=True)
+        found = {name: s(pdf) for name, s in scorers.items()}
+        return pd.DataFrame([{"config": name, "resample": int(pdf["resample"].iloc[0]), **{m: x.get(m, math.nan) for m in ("ari", "ami", "table_ari")}} for name, x in found.items()])
 
     return drawn.groupBy("resample").applyInPandas(run, "config string, resample int, ari double, ami double, table_ari double")
 
@@ -235,6 +242,25 @@ def paired_difference(rows: DataFrame, a: str, reference: str, metric: str, leve
     return q.select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "wins")
 
 
+def compare_intervals(point: DataFrame, rows: DataFrame, metrics: tuple[str, ...] = ("ari", "ami")) -> DataFrame:
+    """Per metric and configuration the estimate on all rows and the interval over the resamples."""
+    out = None
+    for m in metrics:
+        row = point.select("config", F.lit(m).alias("metric"), F.col(m).alias("point"), "table_ari").join(intervals(rows, m), "config")
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.desc("metric"), "config")
+
+
+def compare_differences(rows: DataFrame, pairs: list[tuple[str, str]], metrics: tuple[str, ...] = ("ari", "ami")) -> DataFrame:
+    """Paired differences of each pair (configuration, reference)."""
+    out = None
+    for a, reference in pairs:
+        for m in metrics:
+            row = paired_difference(rows, a, reference, m).select(F.lit(f"{a} - {reference}").alias("comparison"), F.lit(m).alias("metric"), "mean", "low", "high", "wins")
+            out = row if out is None else out.unionAll(row)
+    return out
+
+
 def mean_over_wordings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("config", "resample").agg(*[F.avg(m).alias(m) for m in ("ari", "ami", "table_ari")])
 

@@ -12,7 +12,7 @@ from colscope.functions.constants import ABBREVIATIONS, CANONICAL_ORDER, CATEGOR
 from colscope.functions.embedding import LetterCounts, letter_counts
 from colscope.operators import clustering, features, forest, kernels, partitions
 from colscope.operators.reduction import Reducer
-from colscope.plans import experiments, fixtures, sql
+from colscope.plans import blind, experiments, fixtures, sql
 from colscope.sources import catalog, labels, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -886,7 +886,7 @@ def dataset(spark: SparkSession) -> DataFrame:
     """The written-out catalog with all its blocks, encoded by letter counts, and its families as labels."""
     from colscope.plans.features import build_blocks
 
-    blocks = build_blocks(catalog_rows(spark), LetterCounts)
+    blocks = build_blocks(clustering.checkpoint(catalog_rows(spark)), LetterCounts)  # one plan of both took over 1500 MB of the driver
     family = F.coalesce(types.category(F.col("data_type")), F.lit("other"))
     return clustering.checkpoint(blocks.withColumn("key", F.col("pos").cast("long")).withColumn("label", family))
 
@@ -906,6 +906,12 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.over_wordings(dataset(spark))
 
 
+@query("bootstrap_pipeline")
+def bootstrap_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blind pipeline again on each of 200 resamples, for all configurations of the verb."""
+    return experiments.bootstrap_pipeline(blind.inputs(dataset(spark)), blind.configurations(names=True))
+
+
 @query("algorithm_comparison")
 def algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = dataset(spark)

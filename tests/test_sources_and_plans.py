@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from colscope.errors import CatalogError, ClusteringError, ConfigError, ConnectionFailed, SchemaQualityError
-from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS
+from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FUSED_WEIGHTS
 from colscope.functions.embedding import LetterCounts
 from colscope.operators import kernels
-from colscope.plans import cli, experiments, fixtures, queries, report
+from colscope.plans import blind, cli, experiments, fixtures, queries, report
 from colscope.plans.features import build_blocks, use_wording
 from colscope.sources import catalog, config, labels, sinks
 
@@ -107,6 +107,28 @@ def test_experiments(spark):
     assert experiments.choose_cell(cells.limit(1)).count() == 0
 
 
+def test_bootstrap_runs_the_pipeline_again(spark):
+    ds = dataset(spark)
+    drawn = ds.join(experiments.resamples(ds, 2).where("resample = 1").select("key"), "key")
+    scorers = {a: blind.blind_scorer(FUSED_WEIGHTS, a) for a in ("ward", "hdbscan", "two-level")}
+    rows = {r["config"]: r for r in experiments.bootstrap_pipeline(blind.inputs(ds), scorers, 2).where("resample = 1").collect()}
+    whole = {r["config"]: r for r in experiments.point_estimates(blind.inputs(ds), scorers).collect()}
+    for algorithm in scorers:
+        for rows_of, got in ((drawn, rows), (ds, whole)):
+            rows_of = experiments.clustering.checkpoint(rows_of)
+            want = experiments.score(rows_of.join(experiments.blind_partition(rows_of, FUSED_WEIGHTS, algorithm), "key"), "label", "cluster", "key", "table_name").first()
+            assert [got[algorithm][m] for m in blind.METRICS] == pytest.approx([want[m] for m in blind.METRICS], abs=1e-9)
+    mean = experiments.point_estimates(blind.inputs(ds), {"mean": blind.wordings_scorer(FUSED_WEIGHTS)}).first()
+    each = [r["ari"] for r in experiments.over_wordings(ds, FUSED_WEIGHTS).collect()]
+    assert len(each) == 3 and mean["ari"] == pytest.approx(sum(each) / 3, abs=1e-9)
+
+
+def test_bootstrap_verb_compares_all_configurations(spark):
+    out = cli.resampled(dataset(spark), 2, 0.8)
+    assert all(name in out for name in ("document / ward", "conflict default / ward", "conflict mean / hdbscan", "two-level mean - conflict mean / ward"))
+    assert cli.parser().parse_args(["experiment", "--blocks", "b", "--labels", "l", "--bootstrap", "2"]).bootstrap_mode == "subsample"
+
+
 def test_reports():
     text = report.render(["a", "bb"], [["x", 0.5], ["yy", float("nan")]])
     assert text.splitlines() == ["a   bb", "--  ------", "x   0.5000", "yy  n/a"]
