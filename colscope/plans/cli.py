@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.errors import SchemaQualityError
-from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FOLDS, STRUCTURE_WEIGHTS
+from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FOLDS, FUSED_WEIGHTS, STRUCTURE_WEIGHTS
 from colscope.operators import forest
-from colscope.operators.features import raw_features, require, without_tables
+from colscope.operators.features import raw_features, require, sweep_weights, without_tables
+from colscope.operators.partitions import composition, name_clusters
 from colscope.plans import blind, experiments, report
 from colscope.sources.labels import align_labels, load_labels
-from colscope.sources.sinks import health_rows, read_blocks, write_csv
+from colscope.sources.sinks import health_rows, read_blocks, verdict_rows, write_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--bootstrap", type=int, default=0)
     e.add_argument("--bootstrap-frac", type=float, default=0.8)
     e.add_argument("--bootstrap-mode", choices=("subsample", "fixed"), default="subsample")
-    for flag in ("sweep", "ablation", "baselines", "conflict", "robustness", "two-level", "stability"):
+    e.add_argument("--ablation", nargs="+", metavar="BLOCKS")
+    for flag in ("sweep", "baselines", "conflict", "robustness", "two-level", "stability"):
         e.add_argument(f"--{flag}", action="store_true")
     s = verbs.add_parser("score")
     s.add_argument("--reference", required=True)
@@ -52,16 +55,46 @@ def resampled(ds: DataFrame, n: int, share: float) -> str:
     return f"{head}\n{report.intervals(shown, experiments.compare_differences(rows, pairs))}"
 
 
+def labelled(spark: SparkSession, blocks: str, labels: str, without: list[str]) -> DataFrame:
+    ds = align_labels(read_blocks(spark, blocks), load_labels(spark, labels)).withColumn("key", F.col("pos").cast("long"))
+    return without_tables(ds, without)
+
+
+def conflicts(ds: DataFrame) -> list[str]:
+    """Three configurations, blind by ward and by hdbscan, and what the clusters of the fused one hold."""
+    weights = {"document": sweep_weights(1.0, DEFAULT_WEIGHTS), "conflict": CONFLICT_WEIGHTS, "conflict fused": FUSED_WEIGHTS}
+    found = experiments.clustering.checkpoint(blind.partitions(blind.inputs(ds), {f"{name} / {a}": (w, a, None) for name, w in weights.items() for a in ("ward", "hdbscan")}))
+    fused = found.where("config = 'conflict fused / ward'").join(ds, "key").withColumn("name", F.concat_ws(".", "table_name", "column_name"))
+    return [report.scores(blind.scored(ds, found).orderBy("config")), report.frame(composition(fused, "cluster", "table_name", "label", "key", "name").orderBy("cluster"))]
+
+
+def wordings(ds: DataFrame, algorithm: str) -> list[str]:
+    """The fused conflict configuration under every wording, and the mean and ends of it."""
+    rows = experiments.clustering.checkpoint(blind.scored(ds, blind.partitions(blind.inputs(ds), blind.wording_runs(ds, FUSED_WEIGHTS, algorithm))))
+    return [report.scores(rows.orderBy("config")), report.frame(experiments.summarise_wordings(rows))]
+
+
+def two_levels(ds: DataFrame) -> list[str]:
+    runs = {"document / ward": (sweep_weights(1.0, DEFAULT_WEIGHTS), "ward", None), "conflict fused / ward": (FUSED_WEIGHTS, "ward", None), "conflict fused / two-level": (FUSED_WEIGHTS, "two-level", None)}
+    return [report.scores(blind.scored(ds, blind.partitions(blind.inputs(ds), runs)).orderBy("config")), report.frame(experiments.two_level_scores(ds, FUSED_WEIGHTS)), *wordings(ds, "two-level")]
+
+
+def verdicts(ds: DataFrame) -> DataFrame:
+    """A row per column: its label, its cluster by structure alone, and that cluster's name."""
+    named = name_clusters(ds.join(experiments.run_clustering(ds, STRUCTURE_WEIGHTS), "key"), "label", "cluster", "key")
+    return verdict_rows(named.select(F.concat_ws(".", "table_name", "column_name").alias("key"), F.col("label").alias("truth"), "cluster", "predicted", "pos").orderBy("pos"))
+
+
 def experiment(spark: SparkSession, a: argparse.Namespace) -> str:
-    ds = align_labels(read_blocks(spark, a.blocks), load_labels(spark, a.labels)).withColumn("key", F.col("pos").cast("long"))
-    ds = without_tables(ds, a.without_tables)
+    ds = labelled(spark, a.blocks, a.labels, a.without_tables)
     if a.conflict or a.stability or a.bootstrap:
         require(ds, "e_conflict", "this run")
-    if a.bootstrap and a.bootstrap_mode == "subsample":
+    if a.robustness or a.two_level or (a.bootstrap and a.bootstrap_mode == "subsample"):
         require(ds, "e_conflict_variants", "this run")
-    if a.robustness or a.two_level:
-        require(ds, "e_conflict_variants" if a.robustness else "e_name", "this run")
-    weights = CONFLICT_WEIGHTS if a.conflict else DEFAULT_WEIGHTS
+    if a.two_level:
+        require(ds, "e_name", "this run")
+        require(ds, "name_intrinsic", "this run")
+    weights = DEFAULT_WEIGHTS
     if a.alpha is not None:
         weights = experiments.sweep_weights(a.alpha, weights)
     scored = experiments.evaluate("fused", ds, weights).unionByName(experiments.evaluate("structure only", ds, STRUCTURE_WEIGHTS))
@@ -69,15 +102,19 @@ def experiment(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.sweep:
         parts.append(report.scores(experiments.alpha_sweep(ds, weights)))
     if a.ablation:
-        parts.append(report.scores(experiments.ablation({"full": ds}, weights)))
+        others = {Path(path).name: labelled(spark, path, a.labels, a.without_tables) for path in a.ablation}
+        parts.append(report.scores(experiments.ablation({"full": ds} | others, weights)))
+    if a.conflict:
+        parts += conflicts(ds)
     if a.stability:
-        parts.append(report.frame(experiments.grid_scores(ds, experiments.stability_grid(experiments.reduced(ds, weights)))))
+        parts.append(report.frame(experiments.grid_scores(ds, experiments.stability_grid(experiments.reduced(ds, CONFLICT_WEIGHTS)))))
     if a.robustness:
-        rows = experiments.over_wordings(ds)
-        parts += [report.scores(rows), report.frame(experiments.summarise_wordings(rows))]
+        for algorithm in ("ward", "hdbscan"):
+            parts += wordings(ds, algorithm)
     if a.two_level:
-        parts.append(report.frame(experiments.two_level_scores(ds, weights)))
+        parts += two_levels(ds)
     if a.baselines:
+        parts.append(report.frame(forest.baseline(raw_features(ds), "label", "key").orderBy("fold")))
         parts.append(report.frame(experiments.compare_algorithms(ds, experiments.reduced(ds, weights))))
     if a.bootstrap and a.bootstrap_mode == "fixed":
         frozen = {"document": experiments.blind_partition(ds, DEFAULT_WEIGHTS), "conflict": experiments.blind_partition(ds, CONFLICT_WEIGHTS)}
@@ -86,7 +123,7 @@ def experiment(spark: SparkSession, a: argparse.Namespace) -> str:
     elif a.bootstrap:
         parts.append(resampled(ds, a.bootstrap, a.bootstrap_frac))
     if a.csv:
-        write_csv(scored, a.csv)
+        write_csv(verdicts(ds), a.csv)
     return "\n\n".join(parts)
 
 

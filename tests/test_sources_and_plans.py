@@ -129,6 +129,23 @@ def test_bootstrap_verb_compares_all_configurations(spark):
     assert cli.parser().parse_args(["experiment", "--blocks", "b", "--labels", "l", "--bootstrap", "2"]).bootstrap_mode == "subsample"
 
 
+def test_flags_run_every_configuration(spark, tmp_path, monkeypatch):
+    ds = experiments.clustering.checkpoint(dataset(spark).withColumn("label", F.when(F.col("pos") % 2 == 0, "clean").otherwise("eav")))
+    conflict = cli.conflicts(ds)
+    assert all(f"{name} / {a}" in conflict[0] for name in ("document", "conflict", "conflict fused") for a in ("ward", "hdbscan")) and "top_labels" in conflict[1]
+    assert all(f"{w} / hdbscan" in cli.wordings(ds, "hdbscan")[0] for w in ("orig", "W2", "W3"))
+    assert "conflict fused / two-level" in cli.two_levels(ds)[0]
+    rows = cli.verdicts(ds).collect()
+    assert len(rows) == 24 and set(rows[0].asDict()) == {"key", "truth", "cluster_id", "predicted"} and len({r["key"] for r in rows}) == 24
+    found = []
+    monkeypatch.setattr(cli, "labelled", lambda spark, blocks, labels, without: ds)
+    monkeypatch.setattr(experiments, "ablation", lambda sets, weights: found.extend(sets) or experiments.evaluate("x", ds, weights))
+    monkeypatch.setattr(cli.forest, "baseline", lambda rows, label, pos: found.append("forest") or rows.select(F.lit(0).alias("fold")).limit(1))
+    monkeypatch.setattr(experiments, "compare_algorithms", lambda ds, points: points.limit(1))
+    cli.experiment(spark, cli.parser().parse_args(["experiment", "--blocks", "a", "--labels", "l", "--baselines", "--ablation", "x/b", "x/c"]))
+    assert found == ["full", "b", "c", "forest"]
+
+
 def test_reports():
     text = report.render(["a", "bb"], [["x", 0.5], ["yy", float("nan")]])
     assert text.splitlines() == ["a   bb", "--  ------", "x   0.5000", "yy  n/a"]
