@@ -13,10 +13,15 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Fixed sets of the HTML standard: elements without content, with raw content, and inside a line of text.
+#: Fixed sets of the HTML standard: elements without content, whose content browsers never show as text of the page, and inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template svg iframe noframes math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea template iframe noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math object q s samp small span strike strong sub sup svg time tt u var".split())
+#: Elements with tags of their own; those tags that are not shown, that part text, and the tags that end the element.
+FOREIGN = frozenset("math svg".split())
+UNSEEN = frozenset("annotation annotation-xml desc metadata".split())
+APART = frozenset("text mtr mtd".split())
+OUTER = frozenset("html body article main section div table ul ol dl form aside nav header footer p h1 h2 h3 h4 h5 h6 blockquote pre dd dt li center menu figure hr".split())
 #: A start tag of the key ends an open element of the value.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body article main section div table ul ol dl form aside nav header footer".split())
@@ -67,8 +72,9 @@ class Page:
 def parse(source: str) -> Page:
     """Block elements as nodes (parents first) and runs of text in page order, each with its block.
 
-    Inline elements only mark their text; comments, scripts, styles and titles leave nothing. Missing end tags are
-    implied as browsers do for paragraphs, items and cells; an end tag without a start is ignored.
+    Inline elements only mark their text; comments, scripts, styles and titles leave nothing. Formulas and drawings are
+    part of their line. Missing end tags are implied as browsers do for paragraphs, items and cells; an end tag without a
+    start is ignored, and so is the start of a raw element other than a script or style that never ends.
     """
     page = Page([Node("#root", -1, "")])
     stack: list[tuple[str, int]] = [("#root", 0)]
@@ -97,6 +103,12 @@ def parse(source: str) -> Page:
         links -= sum(tag == "a" for tag, _ in stack[k:])
         del stack[k:]
 
+    def foreign() -> bool:
+        for tag, _ in reversed(stack):
+            if tag in FOREIGN or tag not in INLINE:
+                return tag in FOREIGN
+        return False
+
     while at < len(source):
         m = _TOKEN.search(source, at) if at <= last else None
         if m is None:
@@ -116,9 +128,19 @@ def parse(source: str) -> Page:
             pending.append(" ")
         if tag in VOID:
             continue
-        if tag in RAW:
+        inside = foreign()
+        if tag in RAW or (inside and tag in UNSEEN):
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at) if not m[3].endswith("/") else None
-            at = end.end() if end else (at if m[3].endswith("/") else len(source))
+            if end:
+                at = end.end()
+            elif tag in ("script", "style") and not m[3].endswith("/"):
+                at = len(source)
+            continue
+        if tag in FOREIGN and m[3].endswith("/"):
+            continue
+        if inside and tag not in INLINE and tag not in OUTER:
+            if tag in APART:
+                pending.append(" ")
             continue
         if tag in INLINE:
             links += tag == "a"

@@ -239,3 +239,19 @@ def test_best_fit_plan():
                 assert o + size <= 64
         assert len(fill) == plan.sequences and max(fill.values()) <= 64
         assert plan.sequences <= 11 / 9 * -(-sizes.sum() // 64) + 1 or plan.sequences == (sizes > 32).sum() or plan.sequences <= -(-sizes.sum() // 32)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><semantics><annotation>tex</annotation></semantics></math> holds.</p>", ["So x=2 holds."]),
+        ("<p>See <object data=a><b>the</b> text</object> here.</p>", ["See the text here."]),
+        ("<p>A <svg><title>t</title><path d='x'/><g><text>mark</text></g></svg> stands.</p><p>Next.</p>", ["A mark stands.", "Next."]),
+        ("<p>One.<svg><path></p><p>Two.</p>", ["One.", "Two."]),
+        ("<p>One.<object></p><div>Two.</div>", ["One.", "Two."]),
+        ("<p>One.</p><template><p>Two.</p><iframe><p>Three.</p>", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><iframe>no frames</iframe><template><p>x</p></template><p>Two.</p><script>x", ["One.", "Two."]),
+    ],
+)
+def test_text_of_formulas_and_unclosed_elements_stays(source, text):
+    assert [t for _, t in parse(source).runs] == text
