@@ -53,6 +53,7 @@ def stability_grid(points: DataFrame, grid: list[tuple[int, int]] | None = None)
 def grid_scores(ds: DataFrame, grid_rows: DataFrame) -> DataFrame:
     """Scores, validity and noise share of each cell."""
     by = ["cell", "min_cluster_size", "min_samples"]
+    grid_rows = clustering.checkpoint(grid_rows)  # every score reads it
     own = grid_rows.groupBy(*by).agg(F.first("validity").alias("validity"), F.avg((F.col("cluster") == -1).cast("double")).alias("noise_share"))
     return score(grid_rows.join(ds.select("key", "label", "table_name"), "key"), "label", "cluster", "key", "table_name", by).join(own, by)
 

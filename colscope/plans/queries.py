@@ -729,16 +729,20 @@ def silhouette_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 N_RESAMPLES = 20
 _LOT = "(((key * 48271 + (b + 1) * 69621) % 2147483647) * ((key * 48271 + (b + 1) * 69621) % 2147483647) + 12345) % 2147483647"
-BOOT_SQL = f"""e AS (SELECT vec_id AS key, label, vec_id % 20 AS tab, CASE WHEN vec_id % 5 = 0 THEN 3 ELSE label END AS c1, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE label END AS c2 FROM embeddings), b AS (SELECT unnest(range(0, {N_RESAMPLES})) AS b),
+def boot_sql(n: int) -> str:
+    return f"""e AS (SELECT vec_id AS key, label, vec_id % 20 AS tab, CASE WHEN vec_id % 5 = 0 THEN 3 ELSE label END AS c1, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE label END AS c2 FROM embeddings), b AS (SELECT unnest(range(0, {n})) AS b),
 dr AS (SELECT b, e.*, row_number() OVER (PARTITION BY b ORDER BY {_LOT}, key) AS r FROM e, b), kept AS (SELECT * FROM dr WHERE r <= greatest(2, round_even(0.8 * (SELECT count(*) FROM e), 0))),
 {sql.agreement_ctes("SELECT 'fifth:' || b || ':label' AS g, label AS t, c1 AS c FROM kept UNION ALL SELECT 'third:' || b || ':label', label, c2 FROM kept UNION ALL SELECT 'fifth:' || b || ':table', tab, c1 FROM kept UNION ALL SELECT 'third:' || b || ':table', tab, c2 FROM kept")},
 boot AS (SELECT split_part(g, ':', 1) AS config, split_part(g, ':', 2)::INTEGER AS resample, max(CASE WHEN g LIKE '%label' THEN ari END) AS ari, max(CASE WHEN g LIKE '%label' THEN ami END) AS ami, max(CASE WHEN g LIKE '%table' THEN ari END) AS table_ari FROM agree GROUP BY 1, 2)"""
 
 
-def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+BOOT_SQL = boot_sql(N_RESAMPLES)
+
+
+def boot(spark: SparkSession, sf_dir: str, n_resamples: int = N_RESAMPLES) -> DataFrame:
     ds = points(spark, sf_dir).withColumn("table_name", F.col("key") % 20)
     frozen = {name: ds.select("key", F.when(F.col("key") % n == 0, 3).otherwise(F.col("label")).alias("cluster")) for name, n in (("fifth", 5), ("third", 3))}
-    return experiments.bootstrap(ds, frozen, N_RESAMPLES)
+    return experiments.bootstrap(ds, frozen, n_resamples)
 
 
 @query("bootstrap_fixed", f"WITH {BOOT_SQL} SELECT config, resample, round(ari, 6) AS ari, round(ami, 6) AS ami, round(table_ari, 6) AS table_ari FROM boot")
@@ -746,6 +750,11 @@ def bootstrap_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boot(spark, sf_dir), "ari", "ami", "table_ari")
 
 
+@query("bootstrap_fixed_200", f"WITH {boot_sql(200)} SELECT config, resample, round(ari, 6) AS ari, round(ami, 6) AS ami, round(table_ari, 6) AS table_ari FROM boot")
+def bootstrap_fixed_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(boot(spark, sf_dir, 200), "ari", "ami", "table_ari")
+
+
 @query("bootstrap_interval", f"WITH {BOOT_SQL} SELECT config, round(avg(ari), 6) AS mean, round(quantile_cont(ari, 0.025), 6) AS low, round(quantile_cont(ari, 0.975), 6) AS high FROM boot GROUP BY 1")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.intervals(boot(spark, sf_dir), "ari"), "mean", "low", "high")
@@ -841,7 +850,7 @@ def meanshift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hdbscan_grid")
 def hdbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = points(spark, sf_dir).withColumn("table_name", F.col("key") % 20)
-    return experiments.grid_scores(ds, experiments.stability_grid(ds.select("key", "vector"), [(5, 2), (5, 3), (10, 5)]))
+    return experiments.grid_scores(ds, experiments.stability_grid(ds.select("key", "vector")))
 
 
 @query("consensus")
@@ -873,13 +882,13 @@ def cluster_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("forest_baseline")
 def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).withColumn("raw", F.col("vector").cast("array<double>"))
-    return forest.baseline(rows, "label", "key", folds=3, trees=20)
+    return forest.baseline(rows, "label", "key")
 
 
 @query("forest_oof")
 def forest_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).withColumn("raw", F.col("vector").cast("array<double>"))
-    return forest.out_of_fold(rows, "label", "key", folds=3, trees=20).select("key", "label", "predicted", "confidence", "fold")
+    return forest.out_of_fold(rows, "label", "key").select("key", "label", "predicted", "confidence", "fold")
 
 
 def dataset(spark: SparkSession) -> DataFrame:
@@ -915,7 +924,7 @@ def bootstrap_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("algorithm_comparison")
 def algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = dataset(spark)
-    return experiments.compare_algorithms(ds, clustering.checkpoint(experiments.reduced(ds, DEFAULT_WEIGHTS, 5)))
+    return experiments.compare_algorithms(ds, clustering.checkpoint(experiments.reduced(ds, DEFAULT_WEIGHTS)))
 
 
 assert len(FAMILIES) == 6

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from colscope.errors import CatalogError, ClusteringError, ConfigError, ConnectionFailed, SchemaQualityError
-from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FUSED_WEIGHTS
+from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FUSED_WEIGHTS, GRID
 from colscope.functions.embedding import LetterCounts
 from colscope.operators import kernels
 from colscope.plans import blind, cli, experiments, fixtures, queries, report
@@ -146,6 +146,20 @@ def test_flags_run_every_configuration(spark, tmp_path, monkeypatch):
     assert found == ["full", "b", "c", "forest"]
 
 
+def test_queries_run_with_default_settings(spark, monkeypatch):
+    assert queries.QUERIES["hdbscan_grid"](spark, SF).select("min_cluster_size", "min_samples").distinct().count() == len(GRID)
+    seen = {}
+    monkeypatch.setattr(queries.forest, "baseline", lambda *a, **k: seen.setdefault("baseline", k))
+    monkeypatch.setattr(queries.forest, "out_of_fold", lambda rows, *a, **k: (seen.update(oof=k), rows.withColumns({c: F.lit(0) for c in ("predicted", "confidence", "fold")}))[1])
+    monkeypatch.setattr(queries.experiments, "reduced", lambda ds, *a: seen.setdefault("reduced", a) and ds)
+    monkeypatch.setattr(queries.experiments, "compare_algorithms", lambda ds, points: points)
+    monkeypatch.setattr(queries, "dataset", lambda spark: spark.range(1))
+    for name in ("forest_baseline", "forest_oof", "algorithm_comparison"):
+        queries.QUERIES[name](spark, SF)
+    assert seen == {"baseline": {}, "oof": {}, "reduced": (DEFAULT_WEIGHTS,)}
+    assert queries.QUERIES["bootstrap_fixed_200"](spark, SF).select("resample").distinct().count() == 200
+
+
 def test_reports():
     text = report.render(["a", "bb"], [["x", 0.5], ["yy", float("nan")]])
     assert text.splitlines() == ["a   bb", "--  ------", "x   0.5000", "yy  n/a"]
