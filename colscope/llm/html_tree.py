@@ -129,14 +129,15 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         inside = foreign()
+        closed = m[3].endswith("/") and (inside or tag in FOREIGN)  # the slash of other elements means nothing
         if tag in RAW or (inside and tag in UNSEEN):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at) if not m[3].endswith("/") else None
+            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at) if not closed else None
             if end:
                 at = end.end()
-            elif tag in ("script", "style") and not m[3].endswith("/"):
+            elif tag in ("script", "style") and not closed:
                 at = len(source)
             continue
-        if tag in FOREIGN and m[3].endswith("/"):
+        if tag in FOREIGN and closed:
             continue
         if inside and tag not in INLINE and tag not in OUTER:
             if tag in APART:
@@ -161,8 +162,7 @@ def parse(source: str) -> Page:
         mark = _MARK.search(m[3]) if m[3] else None
         page.nodes.append(Node(tag, parent, names, int(mark[1]) if mark else None, depth=page.nodes[parent].depth + 1))
         page.nodes[parent].children += 1
-        if not m[3].endswith("/"):
-            stack.append((tag, len(page.nodes) - 1))
+        stack.append((tag, len(page.nodes) - 1))
     close(1)
     flush()
     for k, text in page.runs:
@@ -209,11 +209,11 @@ def _softplus(x: float, y: float) -> float:
     return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
 
 
-def marginals(page: Page, model: Model, scores: list[float] | None = None) -> tuple[list[float], list[tuple[float, float, float, float]]]:
+def marginals(page: Page, model: Model, scores: list[float] | None = None, joint: bool = False) -> tuple[list[float], list[tuple[float, float, float, float]]]:
     """Sum-product over the tree: one sweep from the leaves up, one from the root down.
 
-    All messages are log odds of label 1. Returns each node's probability of being content, and each node's joint
-    distribution with its parent in the order of ``edges``.
+    All messages are log odds of label 1. Returns each node's probability of being content and, with ``joint``, which only
+    training needs, each node's joint distribution with its parent in the order of ``edges``.
     """
     nodes, (e00, e01, e10, e11) = page.nodes, model.edges
     up = list(scores) if scores is not None else [sum(model.weights.get(f, 0.0) for f in features(n)) for n in nodes]
@@ -221,13 +221,15 @@ def marginals(page: Page, model: Model, scores: list[float] | None = None) -> tu
     for i in range(len(nodes) - 1, 0, -1):
         message[i] = _softplus(e10, e11 + up[i]) - _softplus(e00, e01 + up[i])
         up[nodes[i].parent] += message[i]
-    belief, pairs = list(up), [(0.25, 0.25, 0.25, 0.25)] * len(nodes)
+    belief, pairs = list(up), [(0.25, 0.25, 0.25, 0.25)] * (len(nodes) if joint else 0)
     for i in range(1, len(nodes)):
         rest = belief[nodes[i].parent] - message[i]
         belief[i] = up[i] + _softplus(e01, e11 + rest) - _softplus(e00, e10 + rest)
-        joint = (e00, e01 + up[i], e10 + rest, e11 + rest + up[i])
-        top = max(joint)
-        raw = [math.exp(x - top) for x in joint]
+        if not joint:
+            continue
+        logs = (e00, e01 + up[i], e10 + rest, e11 + rest + up[i])
+        top = max(logs)
+        raw = [math.exp(x - top) for x in logs]
         total = sum(raw)
         pairs[i] = (raw[0] / total, raw[1] / total, raw[2] / total, raw[3] / total)
     return [1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, b)))) for b in belief], pairs
@@ -244,7 +246,7 @@ def fit(pages: list[Page], rounds: int = 40, rate: float = 0.4, decay: float = 1
         edge_gradient = [0.0] * 4
         for page, feats, marks in known:
             scores = [sum(model.weights.get(f, 0.0) for f in fs) for fs in feats]
-            probability, pairs = marginals(page, model, scores)
+            probability, pairs = marginals(page, model, scores, joint=True)
             for fs, p, y in zip(feats, probability, marks, strict=True):
                 for f in fs:
                     gradient[f] = gradient.get(f, 0.0) + y - p
