@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 
 from colscope.llm.common import id_crc
 
-#: Grams in a profile (of one to three characters), distinct words that a worker counts before it passes them on.
+#: Grams in a profile (of one to three characters), distinct words that a worker counts before it passes them on; runs that
+#: hold all letters, and number forms that are none.
 DEPTH, REMEMBERED = 400, 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def letter_words(text: str | None) -> list[str]:
+    """Runs of letters (Unicode category L) in lower case; fractions, Roman numerals and the like part words."""
+    runs = WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ("".join([c if c.isalpha() else " " for c in run]).split() if not run.isalpha() else [run])]
+
+
 def gram_codes(words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """All n-grams of the words, each word between blanks, packed into 21 bits a code point; a blank alone is no gram.
 
@@ -74,7 +83,7 @@ def out_of_place(top: np.ndarray, profiles: Profiles) -> np.ndarray:
 
 
 def predict(text: str | None, profiles: Profiles) -> tuple[str, float]:
-    words = WORDS.findall((text or "").lower())
+    words = letter_words(text)
     if not words or not profiles.langs:
         return UNKNOWN, 0.0
     distance = out_of_place(ranked(*count_grams(words)), profiles)
@@ -92,7 +101,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words[lang].update(WORDS.findall((text or "").lower()))
+            words[lang].update(letter_words(text))
             if len(words[lang]) > REMEMBERED:
                 yield flush(lang)
     for lang in [k for k, w in words.items() if w]:
