@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 3
 
 
+def _text_key() -> Column:
+    """The first 60 bits of a text's MD5, which any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.split("text", "\n", -1).alias("_lines"))
+    return docs.select(F.col("doc_id").alias("_id"), _text_key().alias("_th"), F.split("text", "\n", -1).alias("_lines"))
 
 
 def line_windows(docs: DataFrame) -> DataFrame:
@@ -44,8 +49,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """Remove every later occurrence of a repeated window of three lines.
 
     Lines are what stands between newline characters, compared as they are, blank ones included. A window is three
-    consecutive lines of one document. Of equal windows the first by (doc_id, position) stays; the lines that any later
-    one covers go, overlaps merged. All columns of ``docs`` are kept; ``text`` holds the lines that stay and these
+    consecutive lines of one document. Of equal windows the first by (doc_id, MD5 of the text, position) stays; the lines
+    that any later one covers go, overlaps merged. All columns of ``docs`` are kept; ``text`` holds the lines that stay and these
     columns are appended (replacing any of the same name): n_lines, n_removed (long), spans (array of line ranges).
 
     Defined cases: null text has no lines and stays null; texts of fewer than three lines are never changed; null doc_ids
@@ -53,7 +58,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     columns pass through whatever their names. A document whose lines all go gets an empty text and n_removed = n_lines.
     """
     spans = removed_spans(docs).withColumnsRenamed({"_id": "__s_id", "_th": "__s_th", "spans": "__spans"})
-    keyed = docs.drop("n_lines", "n_removed", "spans").withColumn("__th", F.xxhash64("text"))
+    keyed = docs.drop("n_lines", "n_removed", "spans").withColumn("__th", _text_key())
     joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(F.col("__s_id")) & (F.col("__th") == F.col("__s_th")), "left")
     lines, cut = F.split("text", "\n", -1), F.col("__spans")
     kept = F.flatten(
