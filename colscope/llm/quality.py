@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import id_crc
+from colscope.llm.common import cut, id_crc
 
-#: Hashed feature space, longest n-gram in bytes and in words, labelled rows that training reads at most.
-BITS, LONGEST, REPEATS, TRAIN_ROWS = 18, 4, 6, 4000
+#: Hashed feature space, longest n-gram in bytes and in words, labelled texts that training reads at most, bytes of text for
+#: each time that a byte n-gram must occur to be indicated (so that very long texts do not indicate everything).
+BITS, LONGEST, REPEATS, TRAIN_ROWS, RARE = 18, 4, 6, 4000, 1 << 16
 THRESHOLD = 0.3
 
 
@@ -22,16 +23,21 @@ def features(data: bytes) -> np.ndarray:
     """Sorted hashed indicators of a text's n-grams; each text counts a gram once.
 
     Byte n-grams of 1 to LONGEST bytes, and 1 to REPEATS-grams of words over the alphabet {same as the word before it,
-    another word}, which tell stuttering from prose in any vocabulary.
+    another word}, which tell stuttering from prose in any vocabulary. A byte n-gram counts if it occurs once, and once
+    more for every RARE bytes of text.
     """
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     seen = np.zeros(1 << BITS, bool)
-    code = np.zeros(len(raw), np.uint32)
+    code, more = np.zeros(len(raw), np.uint32), len(raw) // RARE
     for n in range(1, LONGEST + 1):
         if len(raw) < n:
             break
         code = (code[: len(raw) - n + 1] << np.uint32(8)) | raw[n - 1 :]
-        seen[((code * np.uint32(2654435761)) ^ np.uint32(n * 40503)) >> np.uint32(32 - BITS)] = True
+        at = ((code * np.uint32(2654435761)) ^ np.uint32(n * 40503)) >> np.uint32(32 - BITS)
+        if more:
+            seen |= np.bincount(at, minlength=1 << BITS) > more
+        else:
+            seen[at] = True
     words = data.lower().split()
     same = np.fromiter(map(eq, words[1:], words), np.uint32, max(len(words) - 1, 0))
     code = np.zeros(len(same), np.uint32)
@@ -55,24 +61,53 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(f) + self.shift, -40, 40))))
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """log of (share of a gram in class 1) / (share in class 0), from smoothed counts of indicators."""
+class Rows:
+    """Indicator rows, each as its grams or, if that is smaller, as one bit a gram: 32 KB a row at most."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpack(self.packed[i])
+
+
+def pack(f: np.ndarray) -> bytes:
+    if 4 * len(f) < 1 << (BITS - 3):
+        return f.astype(np.int32).tobytes()
+    seen = np.zeros(1 << BITS, bool)
+    seen[f] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if len(data) < 1 << (BITS - 3):
+        return np.frombuffer(data, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.int32)
+
+
+def log_count_ratio(rows, keep: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """log of (share of a gram in class 1) / (share in class 0), from smoothed counts of indicators of the rows ``keep``."""
     p, q = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
-    for f, label in zip(rows, y, strict=True):
-        (p if label > 0 else q)[f] += 1
+    for i in keep:
+        (p if y[i] > 0 else q)[rows[i]] += 1
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows, keep: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear hinge-loss weights over rows x_i = ratio at the row's grams, scaled to unit length, plus a bias feature.
 
-    Each step solves one dual variable exactly within [0, cost].
+    Each step solves one dual variable exactly within [0, cost]; only the rows ``keep`` are used.
     """
-    w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    scale = [1.0 / max(float(np.linalg.norm(ratio[f])), 1e-9) for f in rows]
+    w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(y))
+    scale = np.zeros(len(y))
+    for i in keep:
+        scale[i] = 1.0 / max(float(np.linalg.norm(ratio[rows[i]])), 1e-9)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(keep):
             f = rows[i]
             x = ratio[f] * scale[i]
             gradient = y[i] * (w[f] @ x + b) - 1
@@ -101,7 +136,7 @@ def _sigmoid_fit(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(c)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
+def fit(rows: Rows | list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
     """Weights from all rows; the sigmoid from margins that models of the other folds give."""
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
     if len(rows) == 0 or len(set(y.tolist())) < 2:
@@ -109,9 +144,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
         return Model(np.zeros(1 << BITS), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
 
     def train(keep: np.ndarray) -> Model:
-        part, target = [rows[i] for i in keep], y[keep]
-        ratio = log_count_ratio(part, target)
-        w, b = dual_coordinate_descent(part, ratio, target)
+        ratio = log_count_ratio(rows, keep, y)
+        w, b = dual_coordinate_descent(rows, keep, ratio, y)
         return Model(w * ratio, b, 1.0, 0.0)
 
     margins, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
@@ -127,27 +161,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        f = [features(t or b"").tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(f, pa.binary())], names=["quality", "f"])
+        f = [pack(features(t or b"")) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("quality"), pa.array(f, pa.binary())], names=["at", "quality", "f"])
 
 
 def train_quality(docs: DataFrame, labels_table: DataFrame, train_rows: int = TRAIN_ROWS, folds: int = 5) -> Model:
-    """Fit on at most ``train_rows`` labelled documents whose crc32(doc_id as text) mod ``folds`` is not 0.
+    """Fit on at most ``train_rows`` labelled texts whose crc32(doc_id as text) mod ``folds`` is not 0.
 
-    The sample is the labels with the lowest hash of doc_id, so it does not hang on the order of the rows. Rows with a
-    null id or label teach nothing.
+    Every text of a labelled doc_id is a candidate, once however often its row repeats; those of the lowest hash of
+    (doc_id, text) are taken, so the sample does not hang on the order of the rows. Labels of any numeric type are read
+    as integers, above 0 is class 1; a doc_id with contradicting labels counts as class 0, as one mark against it is
+    enough. Rows with a null id or label teach nothing. What reaches the driver is 32 KB a sampled text at most.
     """
-    usable = labels_table.where(F.col("quality").isNotNull() & (F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0)).select(F.col("doc_id").alias("l_id"), "quality")
-    sample = usable.dropDuplicates(["l_id"]).orderBy(F.xxhash64(F.lit(11), "l_id"), "l_id").limit(train_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("text", "quality")
-    # the shuffle lets the features be made in parallel once; the iterator then takes a part of them at a time
-    made = chosen.mapInArrow(_feature_rows, "quality int, f binary").repartition(4)
-    got = sorted((bytes(f), y) for y, f in made.toLocalIterator())
-    ends = np.cumsum([len(f) // 4 for f, _ in got])[:-1]
-    labels = np.array([y for _, y in got])
-    flat = np.frombuffer(b"".join([f for f, _ in got]), np.int32)
-    got.clear()
-    return fit(np.split(flat, ends) if len(labels) else [], labels)
+    marked = labels_table.where(F.col("quality").isNotNull() & (F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0))
+    usable = marked.groupBy(F.col("doc_id").alias("l_id")).agg((F.min("quality") > 0).cast("int").alias("quality"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    held = keyed.select("doc_id", "th").join(usable, F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "th").agg(F.max("quality").alias("quality"))
+    sample = cut(held.withColumn("at", F.xxhash64(F.lit(11), "doc_id", "th")).orderBy("at", "doc_id", "th").limit(train_rows))
+    sample = sample.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "quality", "at")
+    chosen = keyed.join(F.broadcast(sample), (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th"))).groupBy("doc_id", "th").agg(F.first("at").alias("at"), F.first("quality").alias("quality"), F.first("text").alias("text"))
+    made = chosen.select("at", "quality", "text").mapInArrow(_feature_rows, "at long, quality int, f binary")
+    got = sorted(((r["at"], bytes(r["f"]), r["quality"]) for r in made.toLocalIterator()), key=lambda x: x[:2])
+    return fit(Rows([f for _, f, _ in got]), np.array([y for _, _, y in got]))
 
 
 def score_quality(docs: DataFrame, model: Model, keep_columns: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
