@@ -3,18 +3,21 @@
 import hashlib
 import random
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colscope.llm import html_tree
 from colscope.llm.fingerprint import Powers, fingerprint_edits, hex_of, likeness, lz_phrases, signature
 from colscope.llm.html_tree import extract, labelled_pages, main_text, marginals, parse, trained
 from colscope.llm.language import Profiles, identify, learn_profiles, out_of_place, ranked, count_grams
 from colscope.llm.packing import WordIds, match, pack
-from colscope.llm.quality import dual_coordinate_descent, features, fit, score_quality, train_quality
+from colscope.llm.quality import dual_coordinate_descent, features, fit, score_quality, train_quality, unpack
+from colscope.llm.quality import pack as pack_row
 from colscope.llm.queries import tokenizer_path
 from colscope.llm.sharding import grid, permute, shard
 
@@ -59,6 +62,27 @@ def test_language_counts_match_brute_force(spark):
         assert got == {code(g): k for k, g in enumerate(want)}
 
 
+def test_identify_matches_brute_force(spark):
+    data = language_rows(90) + [(500, "der ½ die² Ⅷ sch① x1y", "bb"), (501, "½ ² Ⅷ ① 7", None), (502, "É É é", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    profiles = learn_profiles(df)
+    names = {lang: {int(g): int(r) for g, r in zip(profiles.grams, profiles.ranks[:, k], strict=True) if r < 400} for k, lang in enumerate(profiles.langs)}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, profiles).collect()}
+    for i, t, _ in data:
+        counts = Counter()
+        for w in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split():
+            p = f" {w} "
+            counts.update(p[k : k + n] for n in (1, 2, 3) for k in range(len(p) - n + 1) if p[k : k + n] != " ")
+        code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+        top = sorted(counts, key=lambda g: (-counts[g], code(g)))[:400]
+        if not top:
+            assert got[i] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(known[code(g)] - k) if code(g) in known else 400 for k, g in enumerate(top)) / (400 * len(top)) for lang, known in names.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert got[i] == (best, 1.0 - far[best])
+
+
 def test_out_of_place():
     p = Profiles(["a"], np.array([1, 2, 3]), np.array([[0], [1], [2]]))
     assert out_of_place(np.array([1, 2, 3]), p)[0] == 0
@@ -89,15 +113,63 @@ def test_quality(spark):
     assert len({r["score"] for r in score_quality(d, flat).collect()}) == 1
 
 
+def test_labels_of_any_kind(spark):
+    """Wide labels, contradicting labels, one doc_id that repeats many times, and texts beyond a batch."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join(words(rnd, 20)) if i % 2 else " ".join(x.upper() + "!" for x in words(rnd, 20))) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    many = d.unionAll(spark.range(100_000).selectExpr("3L AS doc_id", "'the same row again and again' AS text"))
+    labels = [(i, i % 2) for i in range(60)]
+    wide = spark.createDataFrame(labels, "doc_id long, quality long")
+    a, b = train_quality(d, wide), train_quality(many, wide.withColumn("quality", F.col("quality").cast("double")))
+    assert a.weights.shape == b.weights.shape and np.mean([(r["predicted"] == 1) == (r["doc_id"] % 2 == 1) for r in score_quality(d, b).collect()]) > 0.9
+    torn = spark.createDataFrame(labels + [(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    none = spark.createDataFrame([(i, 0) for i in range(60)], "doc_id long, quality int")
+    assert train_quality(d, torn).bias == train_quality(d, none).bias and np.array_equal(train_quality(d, torn).weights, train_quality(d, none).weights)
+    assert np.array_equal(train_quality(d.repartition(7), wide).weights, a.weights)
+    few = train_quality(d, wide, train_rows=10)
+    assert not np.array_equal(few.weights, a.weights)
+
+
+def test_features_of_long_texts_stay_apart():
+    rnd = np.random.default_rng(3)
+    x, y = (rnd.choice(np.frombuffer(letters, np.uint8), 3_000_000).tobytes() for letters in (b"abcdefgh ", b"stuvwxyz "))
+    a, b = features(x), features(y)
+    assert len(np.intersect1d(a, b)) < 0.2 * len(a) and np.array_equal(unpack(pack_row(a)), a)
+    dense = np.arange(0, 1 << 18, 3, dtype=np.int32)
+    assert len(pack_row(dense)) == 1 << 15 and np.array_equal(unpack(pack_row(dense)), dense)
+
+
 def test_dual_coordinate_descent_separates():
     rnd = np.random.default_rng(1)
     made = [np.sort(rnd.choice(50, 8, replace=False) + (0 if i % 2 else 50)).astype(np.int32) for i in range(60)]
     y = np.array([1.0 if i % 2 else -1.0 for i in range(60)])
-    w, b = dual_coordinate_descent(made, np.ones(1 << 18), y)
+    w, b = dual_coordinate_descent(made, np.arange(60), np.ones(1 << 18), y)
     assert all((w[f].sum() + b) * t > 0 for f, t in zip(made, y, strict=True))
     assert fit([], np.zeros(0)).score(features(b"x")) == 0.5
 
 
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """The gap between primal and dual objective closes, and the weights equal those of plain projected gradient steps."""
+    rnd = np.random.default_rng(4)
+    made = [np.sort(rnd.choice(20, 6, replace=False)).astype(np.int32) for _ in range(40)]
+    y = np.where(rnd.random(40) < 0.5, 1.0, -1.0)
+    ratio = rnd.normal(size=20)
+    w, b = dual_coordinate_descent(made, np.arange(40), ratio, y, epochs=3000)
+    x = np.zeros((40, 21))
+    for i, f in enumerate(made):
+        x[i, f] = ratio[f] / np.linalg.norm(ratio[f])
+        x[i, 20] = 1.0
+    full = np.append(w, b)
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(40)
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 1)
+    primal = full @ full / 2 + np.maximum(0, 1 - y * (x @ full)).sum()
+    dual = alpha.sum() - alpha @ q @ alpha / 2
+    assert abs(primal - dual) < 1e-3 and np.allclose(full, (alpha * y) @ x, atol=1e-2)
+
+
 def phrases(text):
     seen, s = set(), 0
     for e in range(1, len(text) + 1):
@@ -250,6 +322,8 @@ def test_best_fit_plan():
         ("<p>One.<svg><path></p><p>Two.</p>", ["One.", "Two."]),
         ("<p>One.<object></p><div>Two.</div>", ["One.", "Two."]),
         ("<p>One.</p><template><p>Two.</p><iframe><p>Three.</p>", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><script/>var x=1;</script><p>Two.</p><style/>p{}</style><div/>Three.</div>", ["One.", "Two.", "Three."]),
+        ("<p>A <svg><script/><title/><text>b</text><path/></svg> c.</p><math/><p/>D.", ["A b c.", "D."]),
         ("<p>One.</p><iframe>no frames</iframe><template><p>x</p></template><p>Two.</p><script>x", ["One.", "Two."]),
     ],
 )

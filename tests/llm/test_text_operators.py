@@ -18,9 +18,9 @@ from .data import empty, frame, rows, texts, words
 
 
 def brute_lines(data):
-    """kept text per (id, text), first occurrence by (id, nulls last, text hash order replaced by distinct keys)."""
+    """kept text per (id, text), first occurrence by id (nulls last) and MD5 of the text."""
     keys = {(i is None, i, t) for i, t in data if t is not None}
-    order = sorted(keys, key=lambda k: (k[0], k[1] if k[1] is not None else 0))
+    order = sorted(keys, key=lambda k: (k[0], k[1] if k[1] is not None else 0, hashlib.md5(k[2].encode()).hexdigest()))
     first, later = {}, defaultdict(set)
     for key in order:
         ls = key[2].split("\n")
@@ -55,6 +55,13 @@ def test_line_windows_overlap(spark):
     assert out == {1: ("a\nb\nc\nd\ne", []), 2: ("x\ny", [(1, 5)]), 3: ("a\nb", [])}
 
 
+def test_line_dedup_orders_texts_of_one_id(spark):
+    data = [(1, f"{c}\nb\nc\nd\ne{c}") for c in "pqrstuv"] + [(0, "no lines"), (None, "p\nb\nc\nd\nq")]
+    want = brute_lines(data)
+    got = line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), want[i, t]) for i, t in data)
+
+
 def shingle_set(text, width=5):
     w = (text or "").encode().lower().split()
     if not w:
@@ -83,6 +90,23 @@ def test_containment(spark):
     assert got == want and (0, 0) in got and (1, 1) in got and (2, 1) not in got
 
 
+def test_texts_of_one_item_id_never_add_up(spark):
+    rnd = random.Random(6)
+    a, b = words(rnd, 12), words(rnd, 12)
+    items = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (None, " ".join(a[:7])), (2, "one two"), (2, "one two three")]
+    docs = [(0, " ".join(a + b)), (1, " ".join(a[:7] + ["x"] + b[:7])), (2, " ".join(a[:7])), (3, "one two x three"), (4, "a one two three z")]
+    want = []
+    for d, t in docs:
+        for i, x in set(items):
+            n = min(len(x.split()), 5)
+            need, have = shingle_set(x, n), shingle_set(t, n) if len(t.split()) >= n else frozenset()
+            if len(need & have) >= 0.75 * len(need):
+                want.append((d, str(i), len(need), len(need & have)))
+    got = [(r["doc_id"], str(r["item_id"]), r["n_shingles"], r["n_found"]) for r in contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(g[:2] == (0, "1") for g in got) == 2 and not any(g[0] == 1 and g[1] == "1" for g in got)
+
+
 def test_containment_without_rows(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contained_items(empty(spark), items).count() == 0
