@@ -10,7 +10,8 @@ from colscope.llm.common import cut
 
 def _star(neighbours: DataFrame, large: bool) -> DataFrame:
     """Link every neighbour v of u to the least of u's neighbourhood; the large step only v above u."""
-    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    # written out, so that the join reads it as it is and may split the rows of a node with very many neighbours
+    least = cut(neighbours.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
     joined = neighbours.join(least, neighbours["u"] == least["c"])
     pairs = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:

@@ -7,22 +7,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from colscope.llm.common import cut, even_keys
+from colscope.llm.common import cut, lean
 from colscope.llm.components import components
 
 WIDTH = 5
-#: Text bytes for each bucket of the token table, text bytes that a worker tokenizes at a time, most tokens of a block.
-BUCKET_BYTES, FLUSH_BYTES, BLOCK_TOKENS = 16 << 20, 8 << 20, 4_000_000
-#: Pivots of a block that is too large for one task.
-PIVOTS = 32
+#: Text bytes for each bucket of the token table and each partition of it, partitions at most, text bytes that a worker
+#: tokenizes at a time, most tokens of a block.
+BUCKET_BYTES, PARTITION_BYTES, MOST_PARTITIONS, FLUSH_BYTES, BLOCK_TOKENS = 2 << 20, 16 << 20, 20_000, 4 << 20, 4_000_000
+#: A token is hot if it is in so many records and at least in one of so many; salts that its records are dealt to.
+HOT_RECORDS, HOT_SHARE, SALTS = 1 << 15, 512, 256
+#: Pivots of a block that is too large for one task; pivots in vain after which no more are tried in one that is not.
+PIVOTS, IN_VAIN = 32, 8
+#: Postings that are merged at a time.
+MERGED = 2_000_000
 #: DivideSkip's weight of the cost of a merge against that of a probe.
 MERGE_WEIGHT = 0.0085
+#: Number of records that stands for that of a hot token.
+MANY = (1 << 31) - 1
 
 _rng = np.random.default_rng(20240)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,123 +86,286 @@ def linked(overlap, n, m):
     return 7 * overlap >= 3 * (n + m)
 
 
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for length[0] numbers, then the same from first[1] on."""
+    ends = np.cumsum(length)
+    return np.repeat(first - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Block:
-    """Inverted lists over records in order of size, as one sorted array of token * records + record."""
+    """Inverted lists over records, as one sorted array of token * records + record.
 
-    def __init__(self, sizes: np.ndarray, tokens: list[np.ndarray]):
-        self.order = np.argsort(sizes, kind="stable")
-        self.sizes = sizes[self.order]
+    Records stand in two runs, each in order of size: the first ``apart`` of them, then the others. ``flat`` holds the
+    tokens of one record after another, ``lengths`` how many each has.
+    """
+
+    def __init__(self, sizes: np.ndarray, lengths: np.ndarray, flat: np.ndarray, apart: np.ndarray | None = None):
+        first = np.zeros(len(sizes), bool) if apart is None else apart
+        self.order = np.lexsort((sizes, ~first))
+        self.sizes, self.lengths, self.apart = sizes[self.order], lengths[self.order], int(first.sum())
         self.count = len(sizes)
-        ordered = [tokens[i] for i in self.order]
-        lengths = [len(t) for t in ordered]
-        _, token = np.unique(np.concatenate(ordered) if ordered else np.empty(0, np.int64), return_inverse=True)
-        self.of = np.split(token.astype(np.int64), np.cumsum(lengths)[:-1]) if ordered else []
-        self.lists = np.sort(token.astype(np.int64) * self.count + np.repeat(np.arange(self.count), lengths))
-
-    def search(self, q: int, skip=None) -> list[int]:
-        """Earlier records that link with record q (positions in size order); those for which ``skip`` holds are left out.
-
-        T-occurrence by DivideSkip: a record in reach must stand on at least T of q's lists. The L longest lists are put
-        aside; the others are merged, counting how often each record occurs; a record that occurs T - L times or more is
-        looked up in the long lists by binary search, and retained if all occurrences reach its own T.
+        starts = np.cumsum(lengths) - lengths
+        codes = flat[_ranges(starts[self.order], self.lengths)]
+        self.of = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.lists = np.sort(self.of * self.count + np.repeat(np.arange(self.count), self.lengths))
+
+    def reach(self, queries: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The records that each query may link with: those of the first run by size, or the smaller ones before it."""
+        n = self.sizes[queries]
+        if apart:
+            own = self.sizes[: self.apart]
+            return np.searchsorted(own, (3 * n + 3) // 4), np.searchsorted(own, 4 * n // 3, side="right")
+        return self.apart + np.searchsorted(self.sizes[self.apart :], (3 * n + 3) // 4), queries
+
+    def search(self, queries: np.ndarray, low: np.ndarray, high: np.ndarray, joined=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, record) that link, record at ``low`` or above and below ``high`` of its query.
+
+        T-occurrence by DivideSkip: a record must stand on at least T of a query's lists. The L longest lists are put
+        aside; the others are merged, by one sort for many queries, and counted; a record that occurs T - L times or more
+        is looked up in the long lists by binary search, and retained if all occurrences reach its own T. The cost is
+        that of the lists, not of the records in reach. Pairs for which ``joined`` holds are not looked up.
         """
-        n = int(self.sizes[q])
-        low = int(np.searchsorted(self.sizes, (3 * n + 3) // 4))
-        if low >= q:
-            return []
-        base = self.of[q] * self.count
-        first, last = np.searchsorted(self.lists, base + low), np.searchsorted(self.lists, base + q)
-        length = last - first
-        held = length > 0
-        least = -(-3 * (n + int(self.sizes[low])) // 7)
-        if int(held.sum()) < least:
-            return []
-        base, first, length = base[held], first[held], length[held]
-        by_length = np.argsort(length, kind="stable")
-        aside = min(least - 1, int(least / (MERGE_WEIGHT * math.log2(max(2, int(length.max()))) + 1)))
-        short, long = by_length[: len(by_length) - aside], by_length[len(by_length) - aside :]
-        total = int(length[short].sum())
-        at = np.repeat(first[short] - np.concatenate([[0], np.cumsum(length[short])[:-1]]), length[short]) + np.arange(total)
-        seen = np.bincount(self.lists[at] - np.repeat(base[short], length[short]) - low, minlength=q - low)
-        need = -(-3 * (n + self.sizes[low:q]) // 7)
-        found = np.flatnonzero((seen >= need - aside) & (seen > 0))
-        out = []
-        for c in found[np.argsort(-seen[found], kind="stable")]:
-            record = low + int(c)
-            if skip is not None and skip(record):
-                continue
-            keys = base[long] + record
-            spots = np.minimum(np.searchsorted(self.lists, keys), len(self.lists) - 1)
-            if int(seen[c]) + int((self.lists[spots] == keys).sum()) >= need[c]:
-                out.append(record)
-                if skip is not None:
-                    skip(record, q)
-        return out
+        at, step = 0, max(1, MERGED // max(1, int(self.lengths.max(initial=1))) // 4)
+        while at < len(queries):
+            some = slice(at, at + step)
+            yield from self._lists(queries[some], low[some], high[some], joined)
+            at += step
+
+    def _lists(self, queries, low, high, joined):
+        n = self.sizes[queries]
+        count = self.lengths[queries]
+        of = np.repeat(np.arange(len(queries)), count)
+        base = self.of[_ranges(self.starts[queries], count)] * self.count
+        first = np.searchsorted(self.lists, base + low[of])
+        length = np.searchsorted(self.lists, base + high[of]) - first
+        least = -(-3 * (n + (3 * n + 3) // 4) // 7)
+        held = np.flatnonzero(length > 0)
+        held = held[(np.bincount(of[held], minlength=len(queries)) >= least)[of[held]]]
+        if not len(held):
+            return
+        held = held[np.lexsort((length[held], of[held]))]
+        of, base, first, length = of[held], base[held], first[held], length[held]
+        lists = np.bincount(of, minlength=len(queries))
+        end = np.cumsum(lists)
+        longest = np.where(lists > 0, length[np.maximum(end - 1, 0)], 2)
+        aside = np.minimum(least - 1, (least / (MERGE_WEIGHT * np.log2(np.maximum(longest, 2)) + 1)).astype(np.int64))
+        aside = np.minimum(aside, lists)
+        short = np.arange(len(of)) < (end - aside)[of]
+        cost = np.bincount(of[short], weights=length[short], minlength=len(queries))
+        part = (np.cumsum(cost) // MERGED).astype(np.int64)
+        for k in np.unique(part[lists > 0]):
+            use = np.flatnonzero(short & (part[of] == k))
+            m = length[use]
+            keys, seen = np.unique(np.repeat(of[use] * self.count - base[use], m) + self.lists[_ranges(first[use], m)], return_counts=True)
+            q, record = np.divmod(keys, self.count)
+            need = -(-3 * (n[q] + self.sizes[record]) // 7)
+            keep = np.flatnonzero(seen >= need - aside[q])
+            if joined is not None and len(keep):
+                keep = keep[~joined(queries[q[keep]], record[keep])]
+            q, record, seen, need = q[keep], record[keep], seen[keep], need[keep]
+            for a in range(0, len(q), step := max(1, MERGED // max(1, int(aside.max())))):
+                qq, rr = q[a : a + step], record[a : a + step]
+                probes = aside[qq]
+                keys = base[_ranges((end - aside)[qq], probes)] + np.repeat(rr, probes)
+                hit = self.lists[np.minimum(np.searchsorted(self.lists, keys), len(self.lists) - 1)] == keys
+                total = seen[a : a + step] + np.bincount(np.repeat(np.arange(len(qq)), probes), weights=hit, minlength=len(qq)).astype(np.int64)
+                found = total >= need[a : a + step]
+                yield queries[qq[found]], rr[found]
+
+
+class _Joined:
+    """Which records of a block links join so far."""
+
+    def __init__(self, n: int):
+        self.parent, self.root = list(range(n)), np.arange(n)
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
 
+    def settle(self) -> None:
+        root = np.array(self.parent, np.int64)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        self.root = root
 
-def link_records(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
+
+def _by_pivots(known: _Joined, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Join records to pivots that they link with. A pivot is compared with all records at once, so a group of near copies
+    costs a pass or two. Pivots are the records without a group whose tokens are the commonest, for those lie in the
+    middle of the largest groups, until several in a row find next to nothing; then only those are left whose lists are so long that a pass over all records costs less than to merge them. Returns
+    which records were pivots: all their links are known.
+    """
+    has, pivots = np.flatnonzero(lengths > 0), np.zeros(len(sizes), bool)
+    if not len(has):
+        return pivots
+    where = np.cumsum(lengths) - lengths
+    starts = where[has]
+    listed = np.zeros(len(sizes), np.int64)
+    listed[has] = np.add.reduceat(np.bincount(codes)[codes], starts)
+    dear = listed > len(codes) // 4
+    mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    lone = lengths > 0
+    vain = 0
+    for p in np.argsort(-listed / np.maximum(lengths, 1), kind="stable").tolist():
+        if vain >= IN_VAIN and not dear[p] or not lone[p]:
+            continue
+        own = codes[where[p] : where[p] + lengths[p]]
+        mark[own] = True
+        overlap = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+        mark[own] = False
+        near = has[linked(overlap, sizes[has], sizes[p])]
+        near = near[near != p]
+        known.add(np.full(len(near), p), near)
+        fresh = int(lone[near].sum())
+        lone[near] = lone[p] = False
+        pivots[p] = True
+        vain = 0 if fresh * 64 >= len(sizes) else vain + 1
+    known.settle()
+    return pivots
+
+
+def link_records(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, flat: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """The least id that links reach, for each record. Pairs already joined through others are not verified again.
 
-    With ``labels``, records of equal label count as joined from the start.
+    With ``labels``, records of equal label count as joined from the start. After a few pivots, a token that only records
+    of one group have can tell nothing more and goes, and so do records with too few tokens left; the rest is searched,
+    except for the largest group, which the others are searched against.
     """
-    block = Block(sizes, tokens)
-    parent = list(range(block.count))
+    known = _Joined(len(sizes))
+    if labels is not None:
+        _, head, of = np.unique(labels, return_index=True, return_inverse=True)
+        known.add(np.arange(len(sizes)), head[of])
+    _, codes = np.unique(flat, return_inverse=True)
+    codes = codes.astype(np.int64)
+    rest = ~_by_pivots(known, sizes, lengths, codes)
+    live, codes, n = np.flatnonzero(rest), codes[np.repeat(rest, lengths)], lengths[rest]
+    while len(codes):
+        group = np.repeat(known.root[live], n)
+        order = np.argsort(codes, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) > 0]))
+        mixed = np.minimum.reduceat(group[order], edge) < np.maximum.reduceat(group[order], edge)
+        keep = np.empty(len(codes), bool)
+        keep[order] = np.repeat(mixed, np.diff(np.append(edge, len(codes))))
+        left = np.bincount(np.repeat(np.arange(len(live)), n)[keep], minlength=len(live))
+        enough = left >= least_overlap(sizes[live])
+        if keep.all() and enough.all():
+            break
+        keep &= np.repeat(enough, n)
+        live, codes, n = live[enough], codes[keep], left[enough]
+    if len(live):
+        roots, of = np.unique(known.root[live], return_inverse=True)
+        largest = of == np.argmax(np.bincount(of))
+        block = Block(sizes[live], n, codes, largest)
+        at = live[block.order]
+        queries = np.arange(block.apart, block.count)
+        for apart in (True, False):
+            for a in range(0, len(queries), 8192):
+                some = queries[a : a + 8192]
+                for q, record in block.search(some, *block.reach(some, apart), lambda x, y: known.root[at[x]] == known.root[at[y]]):
+                    known.add(at[q], at[record])
+                known.settle()
+    least = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(least, known.root, ids)
+    return least[known.root]
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    if labels is not None:
-        seen: dict[int, int] = {}
-        for k, i in enumerate(block.order):
-            parent[k] = find(seen.setdefault(int(labels[i]), k))
+def _list_column(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
-    for q in range(block.count):
 
-        def joined(record: int, other: int | None = None, q: int = q) -> bool:
-            a, b = find(record), find(q)
-            if other is not None:
-                parent[max(a, b)] = min(a, b)
-            return a == b
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list, dict[int, np.ndarray]]]:
+    """Documents, their records and the records' shingles, FLUSH_BYTES of text at a time."""
+    docs, recs, sets, held = [], [], {}, 0
+    for batch in batches:
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+            data = data.as_py() or b""
+            tokens = shingles(data, width)
+            rec = None
+            if len(tokens):
+                rec = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+                sets.setdefault(rec, tokens)
+            docs.append(doc_id)
+            recs.append(rec)
+            held += len(data)
+            if held >= FLUSH_BYTES:
+                yield docs, recs, sets
+                docs, recs, sets, held = [], [], {}, 0
+    if docs:
+        yield docs, recs, sets
+
+
+def _frequent(share: int, width: int):
+    """Tokens that are in one of 2 * ``share`` or more of a flush's records, with how many records of the task have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for _, _, sets in _sets(batches, width):
+            if not sets:
+                continue
+            token, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            often = count >= max(4, len(sets) // (2 * share))
+            tokens, at = np.unique(np.concatenate([tokens, token[often]]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, count[often]]), minlength=len(tokens)).astype(np.int64)
+            if len(tokens) > MERGED:
+                kept = np.sort(np.argsort(counts)[-MERGED // 2 :])
+                tokens, counts = tokens[kept], counts[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+    return run
 
-        block.search(q, joined)
-    root = np.array([find(k) for k in range(block.count)], np.int64)
-    own = ids[block.order]
-    least = np.full(block.count, np.iinfo(np.int64).max)
-    np.minimum.at(least, root, own)
-    out = np.empty(block.count, np.int64)
-    out[block.order] = least[root]
-    return out
 
+def hot_tokens(docs: DataFrame, rows: int, width: int = WIDTH) -> np.ndarray:
+    """Sorted tokens that a large share of all records has; counts are from below, by workers over all documents.
 
-def _list_column(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+    There are at most 2 * HOT_SHARE times as many as an average record has tokens. What is found only decides how tokens
+    are dealt and ordered, never whether a link counts.
+    """
+    if rows < HOT_RECORDS:
+        return np.empty(0, np.uint64)  # no token can be in so many
+    found = docs.select("doc_id", "text").mapInArrow(lean(_frequent(HOT_SHARE, width)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    hot = found.where(F.col("n") >= max(HOT_RECORDS, rows // (2 * HOT_SHARE))).select("token").collect()
+    return np.sort(np.array([r["token"] for r in hot], np.int64).view(np.uint64))
 
 
-def _token_rows(bits: int, slots: list[int], doc_type: pa.DataType, width: int):
-    """Tokenize; emit membership rows (doc_id, rec, n; bucket -1), a row (rec, n; bucket -2) for each record and, per
-    bucket of the token space, packed tokens by record.
+def _token_rows(bits: int, partitions: int, hot, doc_type: pa.DataType, width: int):
+    """Tokenize; emit membership rows (doc_id, rec, n; bucket -1), a row (rec, n, hot tokens; bucket -2) for each record
+    and, per bucket of the token space, its other tokens packed by record. ``part`` says which partition a row goes to.
     """
     low_bits = min(48, 64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "bucket", "doc_id", "rec", "n", "blob"]
-
-        def flush(docs: list, recs: list[int], sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names, common = ["part", "bucket", "doc_id", "rec", "n", "blob"], hot.value
+        for docs, recs, sets in _sets(batches, width):
             size = [len(sets[r]) if r is not None else 0 for r in recs]
             k = len(docs)
-            place = pa.array([slots[i % len(slots)] for i in range(k)], pa.int32())
-            yield pa.RecordBatch.from_arrays([place, pa.array([-1] * k, pa.int64()), pa.array(docs, doc_type), pa.array(recs, pa.int64()), pa.array(size, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, -1)), pa.array(docs, doc_type), pa.array(recs, pa.int64()), pa.array(size, pa.int32()), pa.nulls(k, pa.binary())], names=names)
             if not sets:
-                return
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([slots[i % len(slots)] for i in range(k)], pa.int32()), pa.array([-2] * k, pa.int64()), pa.nulls(k, doc_type), pa.array(list(sets), pa.int64()), pa.array([len(a) for a in sets.values()], pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                continue
             ids, arrays = np.fromiter(sets, np.int64, len(sets)), list(sets.values())
             lengths = np.array([len(a) for a in arrays], np.int64)
             tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(ids)), lengths)
-            bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(tokens), np.uint16)
+            shown = [b""] * len(ids)
+            if len(common):
+                often = np.isin(tokens, common)
+                at = np.searchsorted(owner[often], np.arange(len(ids) + 1))
+                often_tokens = tokens[often]
+                shown = [often_tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                tokens, owner = tokens[~often], owner[~often]
+            k = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, -2)), pa.nulls(k, doc_type), pa.array(ids), pa.array(lengths.astype(np.int32)), pa.array(shown, pa.binary())], names=names)
+            if not len(tokens):
+                continue
+            bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
             bucket, owner = bucket[order], owner[order]
             low = tokens[order] & np.uint64((1 << low_bits) - 1)
@@ -209,27 +380,9 @@ def _token_rows(bits: int, slots: list[int], doc_type: pa.DataType, width: int):
             for a, b in zip(first, np.append(first[1:], len(run_bucket)), strict=True):
                 x, y = run_at[a], run_at[b] if b < len(run_at) else len(low)
                 blobs.append(b"".join([np.uint32(b - a).tobytes(), ids[run_owner[a:b]].tobytes(), count[a:b].tobytes(), (low[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low[x:y] >> np.uint64(32)).astype(np.uint16).tobytes()]))
-            k = len(first)
             which = run_bucket[first].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([slots[b] for b in which], pa.int32()), pa.array(which), pa.nulls(k, doc_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(blobs, pa.binary())], names=names)
-
-        for batch in batches:
-            docs, recs, sets, held = [], [], {}, 0
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                data = data.as_py() or b""
-                tokens = shingles(data, width)
-                rec = None
-                if len(tokens):
-                    rec = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
-                    sets.setdefault(rec, tokens)
-                docs.append(doc_id)
-                recs.append(rec)
-                held += len(data)
-                if held >= FLUSH_BYTES:
-                    yield from flush(docs, recs, sets)
-                    docs, recs, sets, held = [], [], {}, 0
-            yield from flush(docs, recs, sets)
+            k = len(which)
+            yield pa.RecordBatch.from_arrays([pa.array((which % partitions).astype(np.int32)), pa.array(which), pa.nulls(k, doc_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -244,8 +397,13 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shared_tokens(bits: int, doc_type: pa.DataType):
-    """Per bucket: tokens that several records have, as rows (rec, n, tokens, how many records have each)."""
-    names = ["doc_id", "rec", "n", "tokens", "dfs"]
+    """Per bucket: tokens that several records have, as rows (rec, n, tokens, how many records have each); ``part`` is
+    the next partition, by record or, for membership rows, any.
+    """
+    names = ["part", "doc_id", "rec", "n", "tokens", "dfs"]
+
+    def by_record(rec: np.ndarray) -> pa.Array:
+        return pa.array(((rec ^ (rec >> 32)) & 0x7FFFFFFF).astype(np.int32))
 
     def bucket_rows(bucket: int, blobs: list[bytes]) -> pa.RecordBatch | None:
         parts = [_unpack(b) for b in blobs]
@@ -270,17 +428,21 @@ def _shared_tokens(bits: int, doc_type: pa.DataType):
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         token = ((np.uint64(bucket) << np.uint64(64 - bits)) if bits else np.uint64(0)) | low
         k = len(at)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, doc_type), pa.array(ids[owner[at]]), pa.nulls(k, pa.int32()), _list_column(token.view(np.int64), at, pa.int64()), _list_column(df.astype(np.int32), at, pa.int32())], names=names)
+        return pa.RecordBatch.from_arrays([by_record(ids[owner[at]]), pa.nulls(k, doc_type), pa.array(ids[owner[at]]), pa.nulls(k, pa.int32()), _list_column(token.view(np.int64), at, pa.int64()), _list_column(df.astype(np.int32), at, pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = -1, []
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
-            for kind in (-1, -2):
-                rows = batch.filter(pa.array(buckets == kind))
-                if k := rows.num_rows:
-                    lists = [pa.nulls(k, pa.list_(t)) if kind == -1 else _list_column(np.empty(0), np.zeros(k, np.int32), t) for t in (pa.int64(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rec"), rows.column("n"), *lists], names=names)
+            rows = batch.filter(pa.array(buckets == -1))
+            if k := rows.num_rows:
+                yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("doc_id"), rows.column("rec"), rows.column("n"), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))], names=names)
+            rows = batch.filter(pa.array(buckets == -2))
+            if k := rows.num_rows:
+                often = [np.frombuffer(x.as_py(), np.int64) for x in rows.column("blob")]
+                count = np.array([len(x) for x in often], np.int64)
+                lists = [_list_column(x, np.cumsum(count) - count, t) for x, t in ((np.concatenate(often), pa.int64()), (np.full(int(count.sum()), MANY, np.int32), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([by_record(rows.column("rec").to_numpy()), rows.column("doc_id"), rows.column("rec"), rows.column("n"), *lists], names=names)
             for i in np.flatnonzero(buckets >= 0):
                 if buckets[i] != now and blobs:
                     if (out := bucket_rows(now, blobs)) is not None:
@@ -309,22 +471,25 @@ def _active_records(doc_type: pa.DataType):
             if rows.num_rows:
                 k = rows.num_rows
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rec"), rows.column("n"), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))], names=names)
-            rest = batch.filter(pa.compute.invert(member))
+            rest = batch.filter(pc.invert(member))
             if rest.num_rows:
                 lists = rest.column("tokens")
                 length = lists.value_lengths().to_numpy()
-                rec = rest.column("rec").to_numpy()
+                rec, n = rest.column("rec").to_numpy(), rest.column("n")
                 recs.append(np.repeat(rec, length))
-                sizes.append(np.stack([rec[length == 0], rest.column("n").fill_null(0).to_numpy()[length == 0]]))
+                sized = n.is_valid().to_numpy(zero_copy_only=False)
+                sizes.append(np.stack([rec[sized], n.drop_null().to_numpy()]))
                 tokens.append(lists.flatten().to_numpy())
                 dfs.append(rest.column("dfs").flatten().to_numpy())
         if not recs:
             return
         rec, token, df = (np.concatenate(x) for x in (recs, tokens, dfs))
-        order = np.lexsort((token, df, rec))
-        rec, token = rec[order], token[order]
         if not len(rec):
             return
+        order = np.lexsort((token, df, rec))
+        rec, token = rec[order], token[order]
+        once = np.concatenate([[True], (rec[1:] != rec[:-1]) | (token[1:] != token[:-1])])  # hot ones may come from several tasks
+        rec, token = rec[once], token[once]
         at = np.flatnonzero(np.concatenate([[True], rec[1:] != rec[:-1]]))
         size = np.concatenate(sizes, axis=1)
         size = size[:, np.argsort(size[0], kind="stable")]
@@ -341,44 +506,62 @@ def _active_records(doc_type: pa.DataType):
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, rec, n, tokens, label) sorted by block, to (rec, root)."""
-    now, held = None, []
+    held: list[tuple[np.ndarray, ...]] = []
+    now = None
 
     def done() -> pa.RecordBatch:
-        ids = np.array([h[0] for h in held], np.int64)
-        labels = np.array([h[3] for h in held], np.int64)
-        roots = link_records(ids, np.array([h[1] for h in held], np.int64), [h[2] for h in held], labels)
+        ids, sizes, labels, lengths, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+        roots = link_records(ids, sizes.astype(np.int64), lengths.astype(np.int64), flat, labels)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["u", "v"])
 
     for batch in batches:
-        block, rec, n, label, lists = (batch.column(c) for c in ("block", "rec", "n", "label", "tokens"))
-        for i in range(batch.num_rows):
-            key = block[i].as_py()
-            if key != now and held:
+        if not batch.num_rows:
+            continue
+        block, rec, n, label = (batch.column(c).to_numpy() for c in ("block", "rec", "n", "label"))
+        lists = batch.column("tokens")
+        lengths, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        ends = np.cumsum(lengths)
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True):
+            if block[a] != now and held:
                 yield done()
                 held = []
-            now = key
-            held.append((rec[i].as_py(), n[i].as_py(), lists[i].values.to_numpy(), label[i].as_py()))
+            now = block[a]
+            held.append((rec[a:b], n[a:b], label[a:b], lengths[a:b], flat[ends[a] - lengths[a] : ends[b - 1]]))
     if held:
         yield done()
 
 
 def _pivot_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by (block, salt), pivots first: label each record with a pivot that it links to, else with itself."""
+    """Rows by (block, salt), pivots first: label each record with the first pivot that it links to, else with itself."""
     now, pivots = None, []
     for batch in batches:
-        out, labels = [], []
-        block, salt, kind, rec, n, lists = (batch.column(c) for c in ("block", "salt", "kind", "rec", "n", "tokens"))
-        for i in range(batch.num_rows):
-            if (block[i].as_py(), salt[i].as_py()) != now:
-                now, pivots = (block[i].as_py(), salt[i].as_py()), []
-            own, size, label = lists[i].values.to_numpy(), n[i].as_py(), rec[i].as_py()
-            if kind[i].as_py() == 0:
-                pivots.append((label, size, own))
+        if not batch.num_rows:
+            continue
+        block, salt, kind, rec, n = (batch.column(c).to_numpy() for c in ("block", "salt", "kind", "rec", "n"))
+        lists = batch.column("tokens")
+        lengths, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        ends, labels = np.cumsum(lengths), rec.copy()
+        edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (salt[1:] != salt[:-1])]))
+        for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True):
+            if (block[a], salt[a]) != now:
+                now, pivots = (block[a], salt[a]), []
+            few = int((kind[a:b] == 0).sum())
+            pivots += [(rec[i], n[i], np.sort(flat[ends[i] - lengths[i] : ends[i]])) for i in range(a, a + few)]
+            rows = np.arange(a + few, b)
+            rows = rows[lengths[rows] > 0]
+            if not len(rows):
                 continue
-            out.append(i)
-            labels.append(next((r for r, m, t in pivots if linked(len(np.intersect1d(own, t, assume_unique=True)), size, m)), label))
-        rows = batch.take(pa.array(out, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column("block"), rows.column("rec"), rows.column("n"), rows.column("tokens"), pa.array(labels, pa.int64())], names=["block", "rec", "n", "tokens", "label"])
+            own, starts = flat[_ranges(ends[rows] - lengths[rows], lengths[rows])], np.cumsum(lengths[rows]) - lengths[rows]
+            found = np.zeros(len(rows), bool)
+            for name, m, tokens in pivots:
+                hit = tokens[np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)] == own
+                near = linked(np.add.reduceat(hit, starts, dtype=np.int64), n[rows].astype(np.int64), int(m)) & ~found
+                labels[rows[near]] = name
+                found |= near
+        rows = pa.array(np.flatnonzero(kind == 1))
+        out = batch.take(rows)
+        yield pa.RecordBatch.from_arrays([out.column("block"), out.column("rec"), out.column("n"), out.column("tokens"), pa.array(labels).take(rows)], names=["block", "rec", "n", "tokens", "label"])
 
 
 def _chunk_pairs(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -394,7 +577,7 @@ def _chunk_pairs(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     # a block's rows are dealt to several tasks, and its pivots go to each of them, ahead of the rows
     first = few.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), "rec", "n", "tokens")
     dealt = rows.select("block", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "rec", "n", "tokens").unionAll(first)
-    labelled = cut(dealt.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "rec").mapInArrow(_pivot_label, "block long, rec long, n int, tokens array<long>, label long"))
+    labelled = cut(dealt.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "rec").mapInArrow(lean(_pivot_label), "block long, rec long, n int, tokens array<long>, label long"))
     half = limit // 2
     sizes = labelled.groupBy("block", "label").agg(F.sum(F.size("tokens").cast("long")).alias("s"))
     group = sizes.withColumn("g", F.when(F.col("s") > half // 4, F.col("label")))
@@ -416,6 +599,22 @@ def _by_block():
     return Window.partitionBy("block").orderBy(F.xxhash64("rec"))
 
 
+def _stars(prefix: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Links (u, v) that join all records of (rec, token) that share a token: each to the least record of the token.
+
+    The rows of a hot token are dealt to SALTS groups, each with a least record of its own, and those are joined.
+    """
+    often = prefix.sparkSession.createDataFrame([(int(t),) for t in hot.view(np.int64)], "hot long")
+    dealt = prefix.join(F.broadcast(often), F.col("token") == F.col("hot"), "left").select("rec", "token", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("rec"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), F.col("hot").isNotNull().alias("often"))
+    least = dealt.groupBy("token", "salt", "often").agg(F.min("rec").alias("root"), F.count("*").alias("df")).where((F.col("df") > 1) | F.col("often"))
+    links = dealt.select("rec", "token", "salt").join(least.select("token", "salt", "root"), ["token", "salt"]).select(F.col("rec").alias("u"), F.col("root").alias("v"))
+    if len(hot):
+        heads = least.where("often")
+        lowest = heads.groupBy("token").agg(F.min("root").alias("v"))
+        links = links.unionAll(heads.join(lowest, "token").select(F.col("root").alias("u"), "v"))
+    return links.distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: components of links of Jaccard similarity 3/4 or more.
 
@@ -424,33 +623,34 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block_tokens: int =
     into buckets once to count how many records have each; only tokens that two records share can add to an overlap, so
     records whose shared tokens are too few drop out exactly. The rest are ordered by rarity; any two that link share a
     token of their prefixes, so components over shared prefix tokens hold all links inside them. Each such block is
-    searched by ``Block.search``; blocks of more than ``block_tokens`` tokens are searched in chunks.
+    searched by ``link_records``: a few pivots, then ``Block.search`` among what they leave. Blocks of more than
+    ``block_tokens`` tokens are first labelled by pivots over several tasks and then searched in chunks. Tokens that a
+    large share of the records has are not dealt by token but stay with their records, last in the order of rarity.
 
     Defined cases: null, empty and blank texts have no shingles and are their own component; repeated rows link as copies
     do; a null doc_id is reported, and never names a component that has another id; an empty table gives no rows; other
     columns are ignored.
     """
     spark = docs.sparkSession
-    held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    bits = min(24, max(3, math.ceil(math.log2(max(1, held / BUCKET_BYTES)))))
-    buckets = 1 << bits
-    slots = even_keys(spark, buckets)
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    bits = min(24, max(3, math.ceil(math.log2(max(1, held["b"] / BUCKET_BYTES)))))
+    partitions = min(MOST_PARTITIONS, max(8, math.ceil(held["b"] / PARTITION_BYTES)))
+    hot = hot_tokens(docs, held["n"], width)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow = to_arrow_type(StructType.fromDDL(f"doc_id {id_type}")["doc_id"].dataType)
-    tokens = docs.select("doc_id", "text").mapInArrow(_token_rows(bits, slots, arrow, width), f"slot int, bucket long, doc_id {id_type}, rec long, n int, blob binary")
-    shared = tokens.repartition(buckets, "slot").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(bits, arrow), f"doc_id {id_type}, rec long, n int, tokens array<long>, dfs array<int>")
-    by_record = shared.repartition(buckets, F.when(F.col("tokens").isNull(), F.xxhash64("doc_id")).otherwise(F.col("rec"))).mapInArrow(_active_records(arrow), f"doc_id {id_type}, rec long, n int, prefix int, tokens array<long>")
+    tokens = docs.select("doc_id", "text").mapInArrow(lean(_token_rows(bits, partitions, spark.sparkContext.broadcast(hot), arrow, width)), f"part int, bucket long, doc_id {id_type}, rec long, n int, blob binary")
+    shared = tokens.repartitionById(partitions, "part").sortWithinPartitions("bucket").mapInArrow(lean(_shared_tokens(bits, arrow)), f"part int, doc_id {id_type}, rec long, n int, tokens array<long>, dfs array<int>")
+    by_record = shared.repartitionById(partitions, "part").select("doc_id", "rec", "n", "tokens", "dfs").mapInArrow(lean(_active_records(arrow)), f"doc_id {id_type}, rec long, n int, prefix int, tokens array<long>")
     table = cut(by_record)
     members = table.where(F.col("tokens").isNull()).select("doc_id", "rec", "n")
     active = table.where(F.col("tokens").isNotNull()).select("rec", "n", "prefix", "tokens")
 
     prefix = active.select("rec", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    least = prefix.groupBy("token").agg(F.min("rec").alias("root"), F.count("*").alias("df")).where(F.col("df") > 1).select("token", "root")
-    candidates = components(prefix.join(least, "token").select(F.col("rec").alias("u"), F.col("root").alias("v")).distinct())
+    candidates = components(_stars(prefix, hot))
     blocks = cut(active.select("rec", "n", "tokens").join(candidates.select(F.col("node").alias("rec"), F.col("root").alias("block")), "rec").select("block", "rec", "n", "tokens"))
     weight = blocks.groupBy("block").agg(F.sum(F.size("tokens").cast("long")).alias("s"))
     total = weight.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.max("s"), F.lit(0)).alias("m")).first()
-    few = max(1, min(buckets * 4, math.ceil(total["s"] / (block_tokens / 16))))
+    few = max(1, min(MOST_PARTITIONS, math.ceil(total["s"] / (block_tokens / 16))))
     found = blocks.withColumn("label", F.col("rec"))
     given = None
     if total["m"] > block_tokens:
@@ -458,10 +658,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block_tokens: int =
         pairs, given = _chunk_pairs(sized.where(F.col("s") > block_tokens), block_tokens)
         found = sized.where(F.col("s") <= block_tokens).select("block", "rec", "n", "tokens", F.col("rec").alias("label")).withColumn("kind", F.lit(0)).unionAll(pairs.withColumn("kind", F.lit(1)))
         found = found.withColumn("block", F.xxhash64("kind", "block")).drop("kind")
-    links = found.repartition(few, "block").sortWithinPartitions("block", "rec").mapInArrow(_block_rows, "u long, v long")
+    links = found.repartition(few, "block").sortWithinPartitions("block", "rec").mapInArrow(lean(_block_rows), "u long, v long")
     roots = links if given is None else components(links.unionAll(given)).select(F.col("node").alias("u"), F.col("root").alias("v"))
-    grouped = members.join(roots, members["rec"] == roots["u"], "left").select("doc_id", "n", F.coalesce("v", "rec").alias("g"))
-    grouped = cut(grouped)
-    named = grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    # names are found by distinct record, and joined from a written table, so that a join may split a group's rows
+    grouped = cut(members.join(roots, members["rec"] == roots["u"], "left").select("doc_id", "n", F.coalesce("v", "rec").alias("g")))
+    named = cut(grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("component_id")))
     out = grouped.join(named, "g", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from colscope.llm import jaccard, suffix_dedup
 from colscope.llm.components import components
 from colscope.llm.decontaminate import contained_items
-from colscope.llm.jaccard import Block, jaccard_components, link_records, linked
+from colscope.llm.jaccard import Block, jaccard_components, linked
 from colscope.llm.line_dedup import line_dedup
 from colscope.llm.suffix_dedup import remove_repeats, repeated_windows, suffix_array
 
@@ -149,19 +150,81 @@ def test_jaccard_components(spark, block_tokens):
     assert jaccard_components(empty(spark)).count() == 0
 
 
-def test_divide_skip_is_exact():
+def flat(sets):
+    return np.array([len(x) for x in sets]), np.concatenate(sets)
+
+
+def test_divide_skip_is_exact(monkeypatch):
+    monkeypatch.setattr(jaccard, "MERGED", 900)
     rnd = np.random.default_rng(2)
-    for _ in range(60):
+    for k in range(60):
         base = rnd.permutation(400)[:80]
         sets = [np.unique(np.where(rnd.random(80) < 0.12, rnd.integers(400, 900, 80), base)[: rnd.integers(40, 81)]) for _ in range(14)]
         sizes = np.array([len(s) for s in sets])
-        block = Block(sizes, sets)
-        for q in range(len(sets)):
-            mine = set(sets[block.order[q]])
-            want = [r for r in range(q) if linked(len(mine & set(sets[block.order[r]])), len(mine), sizes[block.order[r]])]
-            assert sorted(block.search(q)) == want
-        roots = link_records(np.arange(14), sizes, sets)
-        assert all(roots[i] <= i for i in range(14))
+        apart = np.arange(14) < 5 if k % 2 else None
+        block = Block(sizes, *flat(sets), apart)
+        queries, got = np.arange(block.apart, 14), set()
+        for first in (True, False):
+            for q, r in block.search(queries, *block.reach(queries, first)):
+                got |= set(zip(q.tolist(), r.tolist(), strict=True))
+        mine = [set(sets[i]) for i in block.order]
+        assert got == {(q, r) for q in queries for r in range(q) if linked(len(mine[q] & mine[r]), len(mine[q]), len(mine[r]))}
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_link_records_is_exact(labelled):
+    rnd = np.random.default_rng(5)
+    for _ in range(80):
+        centres = [rnd.permutation(60)[:24] for _ in range(rnd.integers(1, 5))]
+        sets = [np.unique(np.where(rnd.random(24) < rnd.choice([0.02, 0.1, 0.3]), rnd.integers(0, 90, 24), centres[rnd.integers(len(centres))])[: rnd.integers(12, 25)]) for _ in range(rnd.integers(1, 40))]
+        n = len(sets)
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        pairs = [(i, j) for i in range(n) for j in range(i) if linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+        labels = np.arange(n) + 500
+        for i, j in pairs[:: 3 if labelled else len(pairs) + 1]:
+            labels[labels == labels[i]] = labels[j]
+        for i, j in pairs:
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+        ids = rnd.permutation(n) * 7
+        want = [min(ids[j] for j in range(n) if find(j) == find(i)) for i in range(n)]
+        assert jaccard.link_records(ids, np.array([len(s) for s in sets]), *flat(sets), labels if labelled else None).tolist() == want
+
+
+def test_search_costs_its_lists():
+    """Sixty-four thousand small records with few tokens in common are searched at the cost of their lists."""
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 200_000, 11)) for _ in range(64_000)]
+    began = time.time()
+    roots = jaccard.link_records(np.arange(64_000), np.array([len(s) for s in sets]), *flat(sets))
+    assert time.time() - began < 6 and len(roots) == 64_000
+
+
+def test_hot_tokens_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_RECORDS", 8)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 4)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    rnd = random.Random(12)
+    common = " ".join(words(rnd, 12))
+    ts = [*texts(), *[common] * 5, common + " end"] + [common + " " + " ".join(words(rnd, rnd.randint(1, 9))) for _ in range(40)]
+    df = frame(spark, ts)
+    assert len(jaccard.hot_tokens(df, len(ts))) >= 8
+    got = jaccard_components(df).collect()
+    want = brute_components(ts)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == sorted([(i, *w) for i, w in enumerate(want)] + [(len(ts) - 1, *want[-1])])
+
+
+def test_rows_of_one_id(spark):
+    """Many rows of a null id and of one id, with one text and with many."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7L ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'a b c d e f g' ELSE concat('w', id, ' x') END AS text")
+    got = jaccard_components(df)
+    assert got.count() == 3000 and got.where("n_shingles = 3").select("component_id").distinct().count() == 1
 
 
 def test_components(spark):
