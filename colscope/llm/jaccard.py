@@ -18,9 +18,9 @@ from colscope.llm.common import cut, lean
 from colscope.llm.components import components
 
 WIDTH = 5
-#: Text bytes for each bucket of the token table and each partition of it, partitions at most, text bytes that a worker
-#: tokenizes at a time, most tokens of a block.
-BUCKET_BYTES, PARTITION_BYTES, MOST_PARTITIONS, FLUSH_BYTES, BLOCK_TOKENS = 2 << 20, 16 << 20, 20_000, 4 << 20, 4_000_000
+#: Text bytes for each bucket of the token table, partitions at most, text bytes that a worker tokenizes at a time, most
+#: tokens of a block.
+BUCKET_BYTES, MOST_PARTITIONS, FLUSH_BYTES, BLOCK_TOKENS = 16 << 20, 20_000, 8 << 20, 4_000_000
 #: A token is hot if it is in so many records and at least in one of so many; salts that its records are dealt to.
 HOT_RECORDS, HOT_SHARE, SALTS = 1 << 15, 512, 256
 #: Pivots of a block that is too large for one task; pivots in vain after which no more are tried in one that is not.
@@ -634,7 +634,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block_tokens: int =
     spark = docs.sparkSession
     held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     bits = min(24, max(3, math.ceil(math.log2(max(1, held["b"] / BUCKET_BYTES)))))
-    partitions = min(MOST_PARTITIONS, max(8, math.ceil(held["b"] / PARTITION_BYTES)))
+    partitions = min(MOST_PARTITIONS, 1 << bits)
     hot = hot_tokens(docs, held["n"], width)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow = to_arrow_type(StructType.fromDDL(f"doc_id {id_type}")["doc_id"].dataType)
