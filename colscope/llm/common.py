@@ -71,10 +71,3 @@ def ascii_words(text: Column) -> Column:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """An integer per partition that Spark's hash partitioning into n partitions sends there."""
-    rows = spark.range(n * (8 + 2 * n.bit_length())).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
-    found = {r["p"]: r["k"] for r in rows}
-    return [found.get(i, i) for i in range(n)]

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from colscope.llm.common import even_keys
+from colscope.llm.common import lean
+from colscope.llm.sharding import number_rows
 
-#: Hashes kept in a signature.
-KEPT = 128
+#: Hashes kept in a signature; text bytes a bucket of neighbours holds on average, and most buckets.
+KEPT, BUCKET_BYTES, MOST_BUCKETS = 128, 12 << 20, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_MIN = -(1 << 63)
 
 
 class Powers:
@@ -102,51 +103,68 @@ def hex_of(sig: np.ndarray) -> str:
     return sig.astype(">u4").tobytes().hex()
 
 
-def with_next(docs: DataFrame, partitions: int) -> DataFrame:
-    """Rows (bucket, ghost, doc_id, text) in descending doc_id, cut into buckets of nearly equal counts, each followed by
-    a ghost of the row that comes next. The texts are shuffled once; quantiles and one id a bucket go through the driver.
+def _key(doc_id, th: int) -> tuple:
+    return (doc_id is not None, doc_id, th)
+
+
+def _routes(tops: list[tuple]):
+    """Rows to the bucket of their key, equal rows of a batch as one with their number; the top key of a bucket also goes
+    to the bucket above it, as a ghost of the row that comes next there.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(_MIN))
-    cuts = docs.agg(F.percentile_approx(key, [i / partitions for i in range(1, partitions)] or [0.5], 10000).alias("q")).first()["q"] or []
-    bounds = np.unique(np.array(cuts, np.int64))
-    n = len(bounds) + 1
-
-    @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(n - 1 - np.searchsorted(bounds, k.to_numpy(), side="left")).astype("int32")
-
-    heads = {r["b"]: r["k"] for r in docs.select(key.alias("k")).groupBy(bucket("k").alias("b")).agg(F.max("k").alias("k")).collect()}
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    keys = even_keys(spark, max(n, partitions))
-    head_rows = spark.createDataFrame([(b, heads[b], before[b], keys[b], keys[before[b]]) for b in order], "b int, head long, before int, slot long, before_slot long")
-    placed = docs.select("doc_id", "text", key.alias("k")).withColumn("b", bucket("k")).join(F.broadcast(head_rows), "b")
-    copies = F.when(F.col("k") == F.col("head"), F.array(F.struct(F.lit(False).alias("ghost"), F.col("b").alias("bucket"), F.col("slot").alias("slot")), F.struct(F.lit(True).alias("ghost"), F.col("before").alias("bucket"), F.col("before_slot").alias("slot")))).otherwise(
-        F.array(F.struct(F.lit(False).alias("ghost"), F.col("b").alias("bucket"), F.col("slot").alias("slot")))
-    )
-    routed = placed.select("doc_id", "text", "k", F.explode(copies).alias("c")).select("c.*", "doc_id", "k", "text").withColumn("slot", F.col("slot").cast("int"))
-    return routed.repartition(max(n, partitions), "slot").sortWithinPartitions("bucket", "ghost", F.desc("k"), "text").select("bucket", "ghost", "doc_id", "text")
-
-
-def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    where = {key: b for b, key in enumerate(tops)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(map(_key, batch.column("doc_id").to_pylist(), batch.column("th").to_pylist())):
+                rows.setdefault(key, [i, 0])[1] += 1
+            out = [(bisect_left(tops, key), False, i, n) for key, (i, n) in rows.items()]
+            out += [((where[key] + 1) % len(tops), True, i, 1) for key, (i, _) in rows.items() if key in where]
+            part, ghost, at, n = zip(*out, strict=True) if out else [()] * 4
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ghost, pa.bool_()), batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(n, pa.int64()), batch.column("text").take(at)], names=["part", "ghost", "doc_id", "th", "n", "text"])
+
+    return run
+
+
+def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (part, ghost, doc_id, th, n, text) in descending order of (doc_id, th), th being a hash of the text: cut into
+    buckets of nearly equal counts of distinct keys, each followed by a ghost of the row that comes next.
+
+    Keys are range-sorted and numbered without their texts; only the top key of each bucket passes through the driver.
+    The texts are shuffled once, equal rows of an Arrow batch as one row with their number, so neither many rows of one id
+    nor many copies of one row fall to one task.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    numbered, total = number_rows(keyed.select("doc_id", "th").distinct(), ["doc_id", "th"], nulls_first=True)
+    step = max(1, -(-total // buckets))
+    heads = numbered.where((F.pmod(F.col("row") + 1, F.lit(step)) == 0) | (F.col("row") == total - 1)).select("doc_id", "th", "row").collect()
+    tops = [_key(r["doc_id"], r["th"]) for r in sorted(heads, key=lambda r: r["row"])]
+    schema = f"part int, ghost boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, text string"
+    routed = keyed.mapInArrow(lean(_routes(tops)), schema)
+    return routed.repartitionById(max(1, len(tops)), "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), F.desc("th"))
+
+
+def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprint every text and its edited text, whose last third is replaced by the start of the next document.
 
     Next means next in descending doc_id; after the last comes the first. A fingerprint is the hex of the KEPT lowest
     hashes of the text's LZ78 phrases, so equal texts have equal ones. Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next. doc_id may be of any type that has an order.
 
     Defined cases: null text counts as empty; an empty text has an empty fingerprint, alike to empty ones only; null
-    doc_ids come last; rows of equal doc_id follow one another by text; one row alone is its own next; an empty table
-    gives no rows; other columns are ignored.
+    doc_ids come last; rows of equal doc_id follow one another by descending xxhash64 of the text; one row alone is its own
+    next; an empty table gives no rows; other columns are ignored.
     """
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        weight = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+        buckets = min(MOST_BUCKETS, max(8, math.ceil(weight / BUCKET_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = _Chain()
         gc.disable()  # the dictionaries form trees; counting references frees them
         for batch in batches:
-            columns = [batch.column(c) for c in ("bucket", "ghost", "doc_id", "text")]
+            columns = [batch.column(c) for c in ("part", "ghost", "doc_id", "th", "n", "text")]
             out = [row for i in range(batch.num_rows) for row in chain.take(*(c[i].as_py() for c in columns))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
         gc.enable()
@@ -155,31 +173,40 @@ def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFra
     for name, kind in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")):
         schema = schema.add(name, kind)
     names, kinds = schema.names, to_arrow_schema(schema).types
-    return with_next(docs, partitions).mapInArrow(run, schema)
+    return with_next(docs, buckets).mapInArrow(lean(run), schema)
 
 
 class _Chain:
-    """Rows in order, each finished when the next text and its fingerprint are known."""
+    """Rows in order, each finished when the next text and its fingerprint are known; equal rows are one with a number."""
 
     def __init__(self) -> None:
-        self.powers, self.bucket, self.held, self.pending = Powers(), None, None, None
+        self.powers, self.part, self.held, self.pending = Powers(), None, None, None
 
     def _close(self, sig: np.ndarray) -> list[tuple]:
         done, self.pending = self.pending, None
         return [(*done[0], likeness(done[1], sig))] if done else []
 
-    def take(self, bucket: int, ghost: bool, doc_id: int | None, text: str | None) -> list[tuple]:
+    def _edited(self, doc_id, own: str, after: str) -> tuple[tuple, np.ndarray]:
+        third = len(own) // 3
+        edited = own[: len(own) - third] + after[:third]
+        ends, edited_ends = fork(own, len(own) - third, after[:third])
+        sig, edited_sig = signature(own, ends, self.powers), signature(edited, edited_ends, self.powers)
+        digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+        return (doc_id, len(own), digest, hex_of(sig), hex_of(edited_sig), likeness(sig, edited_sig)), sig
+
+    def take(self, part: int, ghost: bool, doc_id, th: int, n: int, text: str | None) -> list[tuple]:
         text, out = text or "", []
-        if self.held is not None and self.bucket == bucket:
-            own_id, own = self.held
-            third = len(own) // 3
-            edited = own[: len(own) - third] + text[:third]
-            ends, edited_ends = fork(own, len(own) - third, text[:third])
-            sig, edited_sig = signature(own, ends, self.powers), signature(edited, edited_ends, self.powers)
+        if self.held is not None and self.part == part:
+            own_id, own_th, own, copies = self.held
+            if not ghost and (own_id, own_th) == (doc_id, th):
+                self.held = (own_id, own_th, own, copies + n)
+                return out
+            row, sig = self._edited(own_id, own, text)
             out = self._close(sig)
-            digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            self.pending = ((own_id, len(own), digest, hex_of(sig), hex_of(edited_sig), likeness(sig, edited_sig)), sig)
+            if copies > 1:  # each but the last is followed by its like
+                out += [(*self._edited(own_id, own, own)[0], 1.0)] * (copies - 1)
+            self.pending = (row, sig)
             if ghost:
                 out += self._close(signature(text, lz_phrases(text), self.powers))
-        self.bucket, self.held = bucket, None if ghost else (doc_id, text)
+        self.part, self.held = part, None if ghost else (doc_id, th, text, n)
         return out

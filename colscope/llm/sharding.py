@@ -50,13 +50,13 @@ def permute(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
-def number_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """Number all rows from 0 in the order of ``keys`` (nulls last); equal rows are spread, whatever their number.
+def number_rows(rows: DataFrame, keys: list[str], nulls_first: bool = False) -> tuple[DataFrame, int]:
+    """Number all rows from 0 in the order of ``keys``, nulls last or first; equal rows are spread, whatever their number.
 
     A range sort, then a count per partition: only those counts, one a partition, pass through the driver.
     """
     salted = cut(rows.withColumn("_salt", F.monotonically_increasing_id()))
-    ordered = salted.orderBy(*[F.col(k).asc_nulls_last() for k in keys], "_salt").drop("_salt")
+    ordered = salted.orderBy(*[F.col(k).asc_nulls_first() if nulls_first else F.col(k).asc_nulls_last() for k in keys], "_salt").drop("_salt")
     numbered = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
     part, low = F.shiftright("_at", 33), F.lit((1 << 33) - 1)
     counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())

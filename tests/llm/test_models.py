@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from colscope.llm import html_tree
@@ -179,11 +180,39 @@ def phrases(text):
     return seen
 
 
+def chain(data):
+    """(id, text) in descending id, nulls last, then by descending hash of the text."""
+    known = {t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ (1 << 63)) - (1 << 63) if t is not None else 42 for _, t in {r[:2] for r in data}}
+    return sorted(((r[0], r[1]) for r in data), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, known[x[1]]), reverse=True)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_of_many_equal_rows(spark, kind):
+    """Copies of one row, many texts of one id, null ids, and ids that are text."""
+    rnd = random.Random(3)
+    data = [(7, "the same text again and again")] * 700 + [(None, None)] * 300 + [(9, " ".join(words(rnd, 5))) for _ in range(200)] + [(None, f"x{i}") for i in range(50)] + [(i, " ".join(words(rnd, 9))) for i in range(20)]
+    data = [(None if i is None else i if kind == "long" else f"é{i}", t) for i, t in data]
+    order = chain(data) if kind == "long" else None
+    rnd.shuffle(data)
+    got = fingerprint_edits(spark.createDataFrame(data, f"doc_id {kind}, text string").repartition(6), 5).collect()
+    if order is None:
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in data)
+        return
+    powers, want = Powers(), Counter()
+    for k, (i, t) in enumerate(order):
+        own, after = t or "", order[(k + 1) % len(order)][1] or ""
+        third = len(own) // 3
+        edited = own[: len(own) - third] + after[:third]
+        sig, other, nxt = (signature(x, lz_phrases(x), powers) for x in (own, edited, after))
+        want[i, len(own), hashlib.sha256(edited.encode()).hexdigest(), hex_of(sig), hex_of(other), likeness(sig, other), likeness(sig, nxt)] += 1
+    assert Counter(tuple(r) for r in got) == want
+
+
 def test_fingerprints(spark):
     df = frame(spark)
-    data = sorted(((r[0], r[1] or "") for r in rows()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    data = [(i, t or "") for i, t in chain(rows())]
     for parts in (1, 5):
-        got = sorted(fingerprint_edits(df, parts).collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
+        got = sorted(fingerprint_edits(df, parts).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0), reverse=True)
         assert len(got) == len(data)
         powers = Powers()
         for k, ((i, text), r) in enumerate(zip(data, got, strict=True)):
