@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colscope.llm.common import cut
+from colscope.llm.common import cut, lean
 
 #: Bytes of a string that counts, bytes of an anchor.
 SPAN, ANCHOR = 200, 32
 #: Bytes of strings in one suffix array, bytes of one anchor's strings beyond which they are told apart by more than the
-#: anchor, windows that such a part holds, bits of the filters that keep rows without a partner out of the shuffles.
-POOL_BYTES, HOT_BYTES, PART_WINDOWS, FILTER_BITS = 1 << 19, 4 << 20, 8, 1 << 25
+#: anchor, windows that such a part holds, most bits of a filter that keeps rows without a partner out of the shuffles.
+POOL_BYTES, HOT_BYTES, PART_WINDOWS, FILTER_BITS = 1 << 19, 4 << 20, 8, 1 << 26
 _BYTE = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -258,17 +258,24 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bits:
-    """A set of 64-bit keys that may hold some more: one hash, FILTER_BITS bits."""
+    """A set of 64-bit keys that may hold some more: one hash and eight bits a key, or all keys if that is too large."""
 
     def __init__(self, keys: DataFrame):
-        place = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-        spots = keys.select(place.alias("at")).selectExpr("at div 32 AS w", "shiftleft(1L, cast(at % 32 AS int)) AS b")
-        words = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        self.words = np.zeros(FILTER_BITS // 32, np.uint32)
-        self.words[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+        n = keys.count()
+        self.size = max(1 << 10, 1 << (8 * n - 1).bit_length()) if n else 1 << 10
+        self.all = n > FILTER_BITS // 2
+        self.size = min(self.size, FILTER_BITS)
+        self.words = np.zeros(self.size // 32, np.uint32)
+        if not self.all:
+            place = F.pmod(F.col("key"), F.lit(self.size))
+            spots = keys.select(place.alias("at")).selectExpr("at div 32 AS w", "shiftleft(1L, cast(at % 32 AS int)) AS b")
+            words = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+            self.words[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        place = keys.astype(np.int64) % FILTER_BITS
+        if self.all:
+            return np.ones(len(keys), bool)
+        place = keys.astype(np.int64) % self.size
         return (self.words[place >> 5] >> (place & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
@@ -318,7 +325,7 @@ _STRINGS = "key long, h long, r long, base int, w int, off int, data binary"
 def _part_strings(width: int):
     """Cut strings into parts of ``width`` places of the window against the anchor, keyed by the bytes all its windows share.
 
-    Equal windows lie in parts of one key. At width 1 a part is one window and its key that window's hash.
+    Equal windows lie in parts of one key. At width 1 a part is one window and its key the hash of its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,15 +390,16 @@ def _found_strings(strings: DataFrame, partitions: int) -> DataFrame:
         if weight.isEmpty():
             break
         cold = strings.join(weight, strings["key"] == weight["hot"], "left_anti")
-        out.append(cold.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_search, schema))
-        strings = cut(strings.join(weight, strings["key"] == weight["hot"], "left_semi").mapInArrow(_part_strings(width), _STRINGS))
+        out.append(cold.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(lean(_search), schema))
+        strings = cut(strings.join(weight, strings["key"] == weight["hot"], "left_semi").mapInArrow(lean(_part_strings(width)), _STRINGS))
     else:
-        alike = strings.select("key", "h", "r", "base").distinct()
-        many = alike.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-        out.append(alike.join(many, "key").select("h", "r", F.col("base").alias("s"), (F.col("base") + 1).alias("e")))
+        # single windows, so many that differ in nothing: their bytes are grouped
+        alike = strings.select("key", "data", "h", "r", "base").distinct()
+        many = cut(alike.groupBy("key", "data").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", "data"))
+        out.append(alike.join(many, ["key", "data"]).select("h", "r", F.col("base").alias("s"), (F.col("base") + 1).alias("e")))
         strings = None
     if strings is not None:
-        out.append(strings.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_search, schema))
+        out.append(strings.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(lean(_search), schema))
     total = out[0]
     for more in out[1:]:
         total = total.unionAll(more)
@@ -433,7 +441,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     Windows of 200 bytes are grouped into runs by their anchor (see ``runs``); only runs whose anchor stands elsewhere go
     on. A run whose bytes occur twice is repeated as a whole. For anchors whose runs differ, one copy of each distinct
     run's bytes is fetched and ``repeated_windows`` compares them by suffix array. Anchors with more than HOT_BYTES of
-    distinct strings are told apart by the bytes that PART_WINDOWS neighbouring windows share, then window by window.
+    distinct strings are told apart by the bytes that PART_WINDOWS neighbouring windows share, each part with a suffix
+    array of its own, then window by window; windows of one place that are still too many are equal, or grouped by their
+    bytes. Hashes decide that runs are equal (an anchor's and the run's, 64 bits each) and never that windows are.
 
     Defined cases: null text is no bytes; texts under 200 bytes lose nothing; repeated rows are separate occurrences, so
     what they hold in 200 bytes or more goes from each; null doc_ids are kept; an empty table gives no rows; other columns
@@ -444,10 +454,10 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     known = {"doc": F.xxhash64("doc_id", "th")}
 
-    anchors = docs.select("text").mapInArrow(_anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("h").alias("hs"))
+    anchors = docs.select("text").mapInArrow(lean(_anchors), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("h").alias("hs"))
     anchors = cut(anchors)
     bits = spark.sparkContext.broadcast(Bits(anchors.select(F.col("hs").alias("key"))))
-    rows = base.mapInArrow(_occurrences(bits), f"doc_id {id_type}, th long, h long, r long, p long, w int, off int")
+    rows = base.mapInArrow(lean(_occurrences(bits)), f"doc_id {id_type}, th long, h long, r long, p long, w int, off int")
     rows = cut(rows.join(anchors, rows["h"] == anchors["hs"], "left_semi"))
 
     alike = cut(rows.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("at"), F.first("w").alias("w"), F.first("off").alias("off")))
@@ -466,7 +476,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         return base.select("*", known["doc"].alias("key")).mapInArrow(run, base.schema)
 
     joined = among(requests, "q_id", "q_th").join(requests, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("th") == F.col("q_th")))
-    strings = cut(joined.select("text", "asked").mapInArrow(_cut_strings, _STRINGS))
+    strings = cut(joined.select("text", "asked").mapInArrow(lean(_cut_strings), _STRINGS))
     weight = strings.agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("b")).first()["b"]
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / (8 * POOL_BYTES)))
     partly = _found_strings(strings, partitions)
@@ -482,8 +492,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         schema = StructType(schema.fields + StructType.fromDDL("spans array<struct<s:bigint,e:bigint>>, kept binary").fields)
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))
     if keep_bytes:
-        return base.join(ranges, same, "left").select("doc_id", "text", "ranges").mapInArrow(_remove(True), schema)
-    changed = among(ranges, "r_id", "r_th").join(ranges, same).select("doc_id", "text", "ranges").mapInArrow(_remove(False), schema)
+        return base.join(ranges, same, "left").select("doc_id", "text", "ranges").mapInArrow(lean(_remove(True)), schema)
+    changed = among(ranges, "r_id", "r_th").join(ranges, same).select("doc_id", "text", "ranges").mapInArrow(lean(_remove(False)), schema)
     data = F.coalesce(F.col("text"), F.lit(""))
     slim = base.select("doc_id", "th", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("kept_sha256"))
     whole = slim.join(ranges.select("r_id", "r_th"), same, "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
