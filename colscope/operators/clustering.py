@@ -5,14 +5,14 @@ Rows carry ``key`` (long, whose order breaks ties) and ``vector``. Distances are
 
 from __future__ import annotations
 
-import tempfile
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.errors import ClusteringError
@@ -21,18 +21,11 @@ from colscope.functions.vectors import distance, norm
 from colscope.operators.features import zscore
 from colscope.operators.kernels import cluster
 from colscope.operators.partitions import centroid_vectors, cluster_sizes
+from colscope.operators.rank import checkpoint, number_rows
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder that the session names; one of its own only where none is named."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colscope-"))
-    return df.checkpoint(eager=True)
-
-
-#: Rows of a block; a task holds two blocks and the distances between them.
-BLOCK = 512
+#: Rows of a block; a task holds two blocks and the distances between them. Rows whose distances part others into bands.
+BLOCK, PIVOTS = 512, 2
 
 
 def _field(name: str) -> Column:
@@ -53,8 +46,14 @@ def _blocks(df: DataFrame, extra: list[str], by: list[str], band: Column | None
     return packed.select(*group, F.transform("_r", lambda x: x["key"]).alias("key"), F.flatten(F.transform("_r", lambda x: x["vector"])).alias("x"), F.size(F.col("_r")[0]["vector"]).alias("width"), *[_field(c) for c in extra])
 
 
-def _apart(pairs: DataFrame, run, schema: str, kept: list[str], extra: list[str]) -> DataFrame:
-    """``run`` over every pair of blocks: (kept values, keys, vectors and extras of either side) to columns of a batch."""
+def _apart(left: DataFrame, right: DataFrame, on: list[str], run, schema: str, kept: list[str], extra: list[str]) -> DataFrame:
+    """``run`` over every pair of a left and a right block of equal ``on``: (kept values, keys, vectors and extras of either
+    side) to columns of a batch.
+
+    Blocks are dealt to a grid of g x g tasks: each block of a side is sent once to every cell of its row or column, so the
+    blocks travel g times and no pair of them is ever shuffled. Pairs stream from the join into ``run``.
+    """
+    g = max(1, math.isqrt(2 * left.sparkSession.sparkContext.defaultParallelism))
     wanted = [*kept, "key", "x", "width", *extra, "key2", "x2", "width2", *[f"{c}2" for c in extra]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +65,10 @@ def _apart(pairs: DataFrame, run, schema: str, kept: list[str], extra: list[str]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    return pairs.select(*wanted).repartition(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(each, schema)
+    line, every = F.pmod(F.xxhash64("key"), F.lit(g)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    rows = left.withColumn("_row", line).withColumn("_col", every)
+    columns = _second(right.withColumn("_col", line).withColumn("_row", every), [*on, "_row", "_col"])
+    return rows.join(columns, [*on, "_row", "_col"]).select(*wanted).mapInArrow(each, schema)
 
 
 def _second(df: DataFrame, by: list[str]) -> DataFrame:
@@ -83,11 +85,17 @@ def _distances(a: dict, b: dict) -> np.ndarray:
     return d
 
 
+def _moved(place: int, step: int) -> Column:
+    """The bands with that at ``place`` moved by ``step``."""
+    return F.transform("_band", lambda x, i: F.when(i == place, x + step).otherwise(x))
+
+
 def close_pairs(df: DataFrame, eps: float, metric: str = "euclidean") -> DataFrame:
     """(a, b, d) of all ordered pairs within ``eps``, each row with itself too.
 
-    Lengths of vectors within eps of each other differ by at most eps, so blocks only meet blocks of their own band of
-    lengths and of the two beside it, by an equi-join on the band; the distances of two blocks are one matrix product.
+    Distances to a fixed point of two vectors within eps of each other differ by at most eps (triangle inequality). The
+    fixed points are the origin and PIVOTS rows, so that vectors of equal length fall into bands too; blocks hold rows of
+    one band and only meet blocks of bands beside it, by an equi-join; the distances of two blocks are one matrix product.
     """
     if metric == "cosine":
         n = norm(F.col("vector"))
@@ -96,16 +104,21 @@ def close_pairs(df: DataFrame, eps: float, metric: str = "euclidean") -> DataFra
         return pairs.withColumn("d", F.col("d") * F.col("d") / 2).where(F.col("d") <= eps)
     if metric != "euclidean":
         raise ClusteringError(f"unknown metric {metric}")
-    # a row meets bands beside its own by reaching into them; the margin keeps rounding from parting equal lengths
-    packed = checkpoint(_blocks(df, [], [], F.floor(norm(F.col("vector")) / F.lit(max(eps * (1 + 1e-9), 1e-12)))))
-    left = packed.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+    # a row meets bands beside its own by reaching into them; the margin keeps rounding from parting equal distances
+    wide = F.lit(max(eps * (1 + 1e-9) + 1e-9, 1e-9))
+    fixed = [r["vector"] for r in df.orderBy(F.xxhash64("key")).limit(PIVOTS).select(F.col("vector").cast("array<double>").alias("vector")).collect()]
+    far = [norm(F.col("vector")), *[distance(F.transform("vector", lambda x: x.cast("double")), F.array(*[F.lit(x) for x in p])) for p in fixed]]
+    packed = checkpoint(_blocks(df, [], [], F.array(*[F.floor(d / wide) for d in far])))
+    left = packed
+    for k in range(len(far)):
+        left = left.withColumn("_band", F.explode(F.array(*[_moved(k, step) for step in (-1, 0, 1)])))
 
     def run(_: list, a: dict, b: dict) -> list[np.ndarray]:
         d = _distances(a, b)
         i, j = np.nonzero(d <= eps)
         return [a["key"][i], b["key"][j], d[i, j]]
 
-    return _apart(left.join(_second(packed, ["_band"]), "_band"), run, "a long, b long, d double", [], [])
+    return _apart(left, packed, ["_band"], run, "a long, b long, d double", [], [])
 
 
 def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -154,8 +167,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         rows = np.repeat(np.arange(len(d)), order.shape[1])
         return [a["key"][rows], b["key"][order.ravel()], d[rows, order.ravel()]]
 
-    pairs = _blocks(queries, [], []).join(_second(_blocks(points, [], []), []), F.lit(True))
-    near = _apart(pairs, run, "q long, key long, d double", [], [])
+    near = _apart(_blocks(queries, [], []), _blocks(points, [], []), [], run, "q long, key long, d double", [], [])
     rank = Window.partitionBy("q").orderBy("d", "key")
     return near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
 
@@ -191,9 +203,7 @@ def silhouette(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         n, m = sums.shape
         return [*[[g] * (n * m) for g in group], np.repeat(a["key"], m), np.repeat(a["cluster"], m), np.tile(names, n), sums.ravel(), np.tile(np.bincount(inverse, minlength=m), n)]
 
-    second = _second(packed, keys)
-    pairs = packed.join(second, keys) if keys else packed.join(second, F.lit(True))
-    parts = _apart(pairs, run, f"{kinds}a long, ca long, cb long, s double, n long", keys, ["cluster"])
+    parts = _apart(packed, packed, keys, run, f"{kinds}a long, ca long, cb long, s double, n long", keys, ["cluster"])
     sums = parts.groupBy(*keys, "a", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("ca") == F.col("cb"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))))
     size = F.max(F.when(F.col("ca") == F.col("cb"), F.col("n")))
@@ -209,7 +219,8 @@ def knee(curve: DataFrame, value: str = "d") -> DataFrame:
     The curve is one number a row. Fewer than four: the largest; a flat line: the middle; never under 1e-6.
     """
     total = curve.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    ranked = curve.select(F.col(value).alias("v")).withColumn("i", F.row_number().over(Window.orderBy("v")) - 1).crossJoin(F.broadcast(total))
+    # equal values differ in their lot, so that a range sort may part them
+    ranked = number_rows(curve.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("_lot")), ["v", "_lot"], "i").crossJoin(F.broadcast(total))
     dx, dy = (F.col("n") - 1).cast("double"), F.col("high") - F.col("low")
     t = (F.col("i") * dx + (F.col("v") - F.col("low")) * dy) / (dx * dx + dy * dy)
     off = F.pow(F.col("i") - t * dx, 2) + F.pow(F.col("v") - F.col("low") - t * dy, 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colscope.errors import CatalogError
 from colscope.functions.constants import FOLDS, RECOMMENDATION, SEED, SEVERITY, TREES
 from colscope.operators.partitions import label_scores
+from colscope.operators.rank import number_rows
 
 
 def stratified_folds(df: DataFrame, label: str, pos: str, folds: int = FOLDS) -> DataFrame:
@@ -19,7 +20,10 @@ def stratified_folds(df: DataFrame, label: str, pos: str, folds: int = FOLDS) ->
     """
     counts = df.groupBy(label).agg(F.count("*").alias("_n"), F.min(pos).alias("_first"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(pos)) - 1).join(starts, label)
+    # numbered by label and place over range partitions: few labels do not mean few tasks
+    numbered = number_rows(df, [label, pos], "_g")
+    heads = numbered.groupBy(F.col(label).alias("_l")).agg(F.min("_g").alias("_head"))
+    ranked = numbered.join(F.broadcast(heads), F.col(label).eqNullSafe(F.col("_l"))).withColumn("_r", F.col("_g") - F.col("_head")).drop("_g", "_head", "_l").join(starts, label)
 
     def upto(i: int):
         """Rows of the label that stand at places below its end with place mod folds <= i, summed over those folds."""

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ALL = "_all"
+#: Terms of a sum that one row lists.
+CHUNK = 65_536
 
 
 def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -44,12 +46,17 @@ def log_factorial(n: Column) -> Column:
 def expected_information(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Expected mutual information of partitions with the same marginals, by the hypergeometric sum over cell counts.
 
-    Equal marginals are summed once and weighted, so the sum grows with the number of distinct group sizes.
+    Equal marginals are summed once and weighted, so the sum grows with the number of distinct group sizes. Counts farther
+    than 20 sqrt(least marginal) from their mean have by Hoeffding's bound a probability under exp(-800), which is no
+    double but zero, and are left out; the others are listed CHUNK at a time, so no row holds a long array.
     """
     a = cells.select(*keys, "truth", "a", "total").distinct().groupBy(*keys, "a", "total").agg(F.count("*").alias("na"))
     b = cells.select(*keys, "cluster", "b").distinct().groupBy(*keys, "b").agg(F.count("*").alias("nb"))
-    low, high = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total")), F.least("a", "b")
-    pairs = a.join(b, keys).where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    mean, reach = F.col("a").cast("double") * F.col("b") / F.col("total"), F.lit(20.0) * F.sqrt(F.least("a", "b").cast("double"))
+    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total"), F.floor(mean - reach).cast("long"))
+    high = F.least(F.col("a"), F.col("b"), F.ceil(mean + reach).cast("long"))
+    chunks = a.join(b, keys).withColumns({"low": low, "high": high}).where("low <= high").withColumn("from", F.explode(F.sequence(F.col("low"), F.col("high"), F.lit(CHUNK).cast("long"))))
+    pairs = chunks.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (CHUNK - 1), F.col("high")))))
     n, x, y, k = (F.col(c) for c in ("total", "a", "b", "k"))
     weight = log_factorial(x) + log_factorial(y) + log_factorial(n - x) + log_factorial(n - y) - log_factorial(n) - log_factorial(k) - log_factorial(x - k) - log_factorial(y - k) - log_factorial(n - x - y + k)
     term = F.col("na") * F.col("nb") * k / n * F.log(n * k / (x.cast("double") * y)) * F.exp(weight)

@@ -1,4 +1,4 @@
-"""Command line: `experiment` scores configurations, `score` reports health."""
+"""Command line: `experiment` scores configurations, `score` reports health, and the catalog's own jobs of ``admin``."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FOLD
 from colscope.operators import forest
 from colscope.operators.features import raw_features, require, sweep_weights, without_tables
 from colscope.operators.partitions import composition, name_clusters
-from colscope.plans import blind, experiments, report
+from colscope.plans import admin, blind, experiments, report
 from colscope.sources.labels import align_labels, load_labels
 from colscope.sources.sinks import health_rows, read_blocks, verdict_rows, write_csv
 
@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--target")
     s.add_argument("--folds", type=int, default=FOLDS)
     s.add_argument("--csv")
+    admin.add_verbs(verbs)
     return p
 
 
@@ -148,11 +149,13 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("colscope").getOrCreate()
     try:
-        print((experiment if a.verb == "experiment" else score)(spark, a))
+        out = ({"experiment": experiment, "score": score} | admin.VERBS)[a.verb](spark, a)
+        text, good = out if isinstance(out, tuple) else (out, True)
+        print(text)
     except SchemaQualityError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    return 0
+    return 0 if good else 1
 
 
 if __name__ == "__main__":

@@ -18,6 +18,9 @@ from colscope.operators.features import fuse, require, sibling_signals, sweep_we
 from colscope.operators.partitions import agreement, dominant_labels, score
 from colscope.operators.reduction import Reducer
 
+#: Bins of lots, in which the cut of a resample is looked for.
+LOT_BINS = 4096
+
 #: Two columns of every dataset here besides its blocks: key (long, catalog order) and table_name; label if it is scored.
 
 
@@ -179,15 +182,23 @@ def compare_algorithms(ds: DataFrame, points: DataFrame, methods: tuple[str, ...
 def resamples(ds: DataFrame, n: int, share: float = 0.8, seed: int = 0, key: str = "key") -> DataFrame:
     """(resample, key): draws without replacement of max(2, round(share * rows)) rows each, the same for every configuration.
 
-    A row's rank within a resample is that of a linear congruence of (key, resample, seed), which SQL can repeat.
+    A row's rank within a resample is that of a linear congruence of (key, resample, seed), which SQL can repeat. The cut
+    is found without sorting a resample: lots are counted in LOT_BINS bins, whole bins below the cut are taken as they are,
+    and only the bin that holds it is ranked.
     """
     if not 0 < share <= 1:
         raise CatalogError("the share of a resample must be above 0 and at most 1")
     size = max(2, round(share * ds.count()))
     drawn = ds.select(key).join(ds.sparkSession.range(n).select(F.col("id").cast("int").alias("resample")), F.lit(True))
-    lot = draw_lot(key, seed)
-    rank = Window.partitionBy("resample").orderBy(lot, key)
-    return drawn.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= size).select("resample", key)
+    drawn = drawn.withColumn("_lot", draw_lot(key, seed)).withColumn("_bin", F.expr(f"_lot div {2**31 // LOT_BINS}"))
+    counts = drawn.groupBy("resample", "_bin").agg(F.count("*").alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy("resample").orderBy("_bin"))  # LOT_BINS rows a resample
+    cuts = counts.withColumn("_upto", below).where((F.col("_upto") >= size) & (F.col("_upto") - F.col("_n") < size))
+    cuts = F.broadcast(cuts.select("resample", F.col("_bin").alias("_cut"), (F.lit(size) - F.col("_upto") + F.col("_n")).alias("_left")))
+    met = drawn.join(cuts, "resample").where(F.col("_bin") <= F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy("resample").orderBy("_lot", key))
+    last = met.where(F.col("_bin") == F.col("_cut")).withColumn("_r", rank).where(F.col("_r") <= F.col("_left"))
+    return met.where(F.col("_bin") < F.col("_cut")).select("resample", key).unionAll(last.select("resample", key))
 
 
 def draw_lot(key: str = "key", seed: int = 0):
@@ -203,6 +214,7 @@ def bootstrap(ds: DataFrame, partitions: dict[str, DataFrame], n: int = 200, sha
         part = drawn.join(p, "key").withColumn("config", F.lit(name))
         out = part if out is None else out.unionByName(part)
     by = ["config", "resample"]
+    out = clustering.checkpoint(out.select(*by, "label", "table_name", "cluster"))  # both agreements read it several times
     tables = agreement(out, "table_name", "cluster", by).select(*by, F.col("ari").alias("table_ari"))
     return agreement(out, "label", "cluster", by).select(*by, "ari", "ami").join(tables, by)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import text, types, vectors
-from colscope.functions.constants import ABBREVIATIONS, CANONICAL_ORDER, CATEGORY, CONCEPT_CATEGORIES, CONCEPTS, DEFAULT_WEIGHTS, FAMILIES, SEVERITY, TEMPERATURE, WORDINGS
+from colscope.functions.constants import ABBREVIATIONS, CANONICAL_ORDER, CATEGORY, CONCEPT_CATEGORIES, CONCEPTS, DEFAULT_WEIGHTS, SEVERITY, TEMPERATURE, WORDINGS
 from colscope.functions.embedding import LetterCounts, letter_counts
 from colscope.operators import clustering, features, forest, kernels, partitions
 from colscope.operators.reduction import Reducer
@@ -575,9 +575,12 @@ def table_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table_list(own_catalog(spark, sf_dir).withColumn("pos", F.col("column_id"))).select("table_name", "n_columns")
 
 
-@query("schema_diff", "SELECT c_custkey AS key, 'missing' AS status FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'extra' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
+@query("schema_diff", "SELECT doc_id AS key, 'missing' AS status FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT user_id, 'extra' FROM (SELECT doc_id AS user_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')")
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.schema_difference(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+    """Documents without a good label, and good labels of documents in other languages than English."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("key"))
+    return catalog.schema_difference(docs, good, ["key"]).where("status = 'missing'").unionAll(catalog.schema_difference(docs.where("lang = 'en'"), good, ["key"]).where("status = 'extra'"))
 
 
 @query("missing_labels", "SELECT source AS table_name, doc_id::VARCHAR AS column_name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -926,5 +929,3 @@ def algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = dataset(spark)
     return experiments.compare_algorithms(ds, clustering.checkpoint(experiments.reduced(ds, DEFAULT_WEIGHTS)))
 
-
-assert len(FAMILIES) == 6

@@ -1,13 +1,15 @@
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from colscope.errors import CatalogError, ClusteringError, ConfigError, ConnectionFailed, SchemaQualityError
+from colscope.errors import CatalogError, ClusteringError, ConfigError, ConnectionFailed, EncodingError, SchemaQualityError
 from colscope.functions.constants import CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, FUSED_WEIGHTS, GRID
-from colscope.functions.embedding import LetterCounts
-from colscope.operators import kernels
-from colscope.plans import blind, cli, experiments, fixtures, queries, report
+from colscope.functions.embedding import LetterCounts, TransformerMean
+from colscope.operators import kernels, reduction
+from colscope.operators.reduction import Reducer
+from colscope.plans import admin, blind, cli, experiments, fixtures, queries, report
 from colscope.plans.features import build_blocks, use_wording
 from colscope.sources import catalog, config, labels, sinks
 
@@ -181,6 +183,125 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["score", "--reference", str(tmp_path / "b"), "--labels", str(tmp_path / "few.csv")]) == 1
 
 
+def run(capsys, *argv):
+    code = cli.main(list(argv))
+    return code, capsys.readouterr()
+
+
+def test_catalog_verbs(spark, tmp_path, capsys):
+    folder, form = str(tmp_path / "views"), str(tmp_path / "form")
+    catalog.snapshot(fixtures.views(spark), folder)
+    source = ["--views", folder, "--owner", "app"]
+    code, said = run(capsys, "build", *source, "--dry-run", "--query-prefix", "query: ")
+    assert code == 0 and said.out.count("query: ") == 5 and "24 columns" in said.out
+    code, _ = run(capsys, "build", *source, "--model", "letters", "--out", str(tmp_path / "b"), "--mismatch", "--no-table-comment")
+    blocks = sinks.read_blocks(spark, str(tmp_path / "b"))
+    assert code == 0 and blocks.count() == 24 and len(blocks.first()["e_text"]) == 27
+    assert dict(tuple(r) for r in spark.read.parquet(str(tmp_path / "b" / "meta")).collect())["model"] == "letters"
+    assert run(capsys, "build", *source, "--model", "letters")[0] == 1 and run(capsys, "build", "--views", folder)[0] == 1
+    assert run(capsys, "labels", *source, "--out", form)[0] == 0
+    rows = spark.read.csv(form, header=True)
+    assert rows.count() == 24 and rows.columns == ["table", "column", "data_type", "label"]
+    filled = rows.withColumn("label", F.lit("clean")).toPandas()
+    filled.to_csv(tmp_path / "l.csv", index=False)
+    code, said = run(capsys, "ddl", "--labels", str(tmp_path / "l.csv"), "--out", str(tmp_path / "ddl"))
+    assert code == 0 and "CREATE TABLE" in spark.read.text(str(tmp_path / "ddl"), wholetext=True).first()[0]
+    upper = filled.assign(table=filled["table"].str.upper(), column=filled["column"].str.upper())
+    upper.iloc[1:].to_csv(tmp_path / "less.csv", index=False)
+    code, said = run(capsys, "verify", *source, "--labels", str(tmp_path / "less.csv"))
+    assert code == 1 and f"extra columns: {filled['table'][0]}.{filled['column'][0]}" in said.out and "24 columns" in said.out
+    table = filled["table"][0]
+    (tmp_path / "c.csv").write_text(f"table,column,comment\n{table},,The table's own\n{table},{filled['column'][0]},A column\nNOWHERE,,x\n")
+    code, said = run(capsys, "comments", *source, "--comments", str(tmp_path / "c.csv"))
+    assert code == 0 and "skipped: no table NOWHERE" in said.out and "'The table''s own'" in said.out and said.out.count("COMMENT ON") == 2
+    assert run(capsys, "comments", *source, "--comments", str(tmp_path / "c.csv"), "--apply")[0] == 1
+
+
+def test_verify_agrees(spark, tmp_path, capsys):
+    names = {c: df for c, df in fixtures.views(spark).items()}
+    upper = {v: df.withColumns({c: F.upper(c) for c in ("table_name", "column_name") if c in df.columns}) for v, df in names.items()}
+    catalog.snapshot(upper, str(tmp_path / "v"))
+    rows = catalog.catalog(upper, "APP")
+    rows.select(F.col("table_name").alias("table"), F.col("column_name").alias("column"), "data_type", F.lit("clean").alias("label")).toPandas().to_csv(tmp_path / "l.csv", index=False)
+    code, said = run(capsys, "verify", "--views", str(tmp_path / "v"), "--owner", '"APP"', "--labels", str(tmp_path / "l.csv"))
+    assert code == 0 and "the schema is that of the label file" in said.out
+
+
+def test_views_and_statements_over_jdbc(spark, tmp_path, capsys):
+    """The dictionary in an embedded database, with the session's own owner, and statements run in it."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    options = {"url": url, "driver": driver, "user": "APP", "password": "x"}
+    kinds, made = {"string": "VARCHAR(200)", "bigint": "BIGINT", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}, []
+    value = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'" if not isinstance(x, int) else str(x)
+    for view, df in [*fixtures.views(spark).items(), ("dual", spark.createDataFrame([("X",)], "dummy string"))]:
+        made.append(f"CREATE TABLE {view} ({', '.join(f'{f.name} {kinds[f.dataType.simpleString()]}' for f in df.schema.fields)})")
+        made += [f"INSERT INTO {view} VALUES ({', '.join(map(value, r))})" for r in df.collect()]
+    admin.run_statements(spark, made, options)
+    found, owner = catalog.jdbc_views(spark, options)
+    assert owner == "APP"
+    key = ["table_name", "column_name", "pos", "is_primary_key", "fk_name"]
+    want = catalog.catalog(fixtures.views(spark), "APP").select(*key).collect()
+    assert sorted(map(str, catalog.catalog(found, owner).select(*key).collect())) == sorted(map(str, want))
+    admin.run_statements(spark, ["CREATE TABLE noted (x INTEGER)", "INSERT INTO noted VALUES (7)"], options)
+    assert spark.read.format("jdbc").options(**options, dbtable="NOTED").load().first()[0] == 7
+    with pytest.raises(SchemaQualityError):
+        admin.run_statements(spark, ["INSERT INTO noted VALUES (8)", "NOT A STATEMENT"], options)
+    assert spark.read.format("jdbc").options(**options, dbtable="NOTED").load().count() == 1
+    with pytest.raises(SchemaQualityError):
+        catalog.jdbc_views(spark, options | {"url": f"jdbc:derby:{tmp_path}/nowhere"})
+
+
+class _Words:
+    """A tokenizer and network that know words by their length: states are (length, length squared)."""
+
+    def __init__(self):
+        self.cut = []
+
+    def __call__(self, texts, padding, truncation, max_length, return_tensors):
+        rows = [[len(w) for w in t.split()][:max_length] for t in texts]
+        self.cut.append(max_length)
+        width = max(map(len, rows), default=0)
+        return {"ids": np.array([r + [0] * (width - len(r)) for r in rows], float), "attention_mask": np.array([[1] * len(r) + [0] * (width - len(r)) for r in rows])}
+
+
+class _States:
+    def __init__(self, x):
+        self.last_hidden_state = self
+        self.x = x
+
+    def detach(self):
+        return self
+
+    cpu = detach
+
+    def __array__(self, dtype=None, copy=None):
+        return self.x
+
+
+def test_encoder_over_a_stub_network():
+    words = _Words()
+    e = TransformerMean(tokenizer=words, network=lambda ids, attention_mask: _States(np.stack([ids, ids**2], axis=-1)), longest=3)
+    got = e.encode(["a bb", "ccc", "a a a aaaa"] * 20, batch=7)
+    assert got.shape == (60, 2) and set(words.cut) == {3} and len(words.cut) == 9
+    mean = np.array([[1.5, 2.5], [3, 9], [1, 1]])
+    assert np.allclose(got[:3], mean / np.linalg.norm(mean, axis=1, keepdims=True), atol=1e-6) and np.allclose(got[3:6], got[:3])
+    assert np.allclose(e.encode_single("ccc"), got[1]) and e.encode([]).shape == (0, 0)
+    e.unload()
+    assert e.network is None
+    with pytest.raises(EncodingError):
+        TransformerMean(tokenizer=words, network=lambda **_: 1 / 0).encode(["x"])
+
+
+def test_umap_through_its_library(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0 * i]) for i in range(20)], "key long, vector array<double>")
+    with pytest.warns(UserWarning, match="pca"):
+        assert len(Reducer("umap", 2).fit_transform(df).first()["reduced"]) == 2
+    monkeypatch.setattr(reduction, "has_umap", lambda: True)
+    monkeypatch.setattr(reduction, "_umap", lambda x, k, seed: x[:, :k] * 2)
+    got = Reducer("umap", 2).fit_transform(df).collect()
+    assert len(got) == 20 and all(r["reduced"] == [2 * x for x in r["vector"][:2]] for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
