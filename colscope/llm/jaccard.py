@@ -29,8 +29,8 @@ PIVOTS, IN_VAIN = 32, 8
 MERGED = 2_000_000
 #: DivideSkip's weight of the cost of a merge against that of a probe.
 MERGE_WEIGHT = 0.0085
-#: Number of records that stands for that of a hot token.
-MANY = (1 << 31) - 1
+#: Number of records that stands for that of a hot token; bytes of a text that are hashed at a time.
+MANY, CHUNK = (1 << 31) - 1, 1 << 16
 
 _rng = np.random.default_rng(20240)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +39,7 @@ _LOWER[65:91] += 32
 _LOWER[9:14] = 32
 _BYTE[32] = 0
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[str, np.ndarray] = {}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,11 +49,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            _powers[key] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse below the n-th at least; only tables of up to 2 * CHUNK stay in memory."""
+    size = max(2 * CHUNK, n)
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64) for base in (_BASE, _INVERSE))
+    if size == 2 * CHUNK:
+        _powers.update(up=up, down=down)
+    return up, down
 
 
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -64,8 +65,14 @@ def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
         return np.empty(0, np.uint64)
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _upto(len(raw))
-    words = np.add.reduceat(_BYTE[raw] * up[: len(raw)], start) * down[start]
+    # CHUNK bytes at a time, so that a very long text needs no long tables; a word's hash does not hang on its place
+    words = np.empty(len(start), np.uint64)
+    edge = np.searchsorted(start, np.arange(0, len(raw) + CHUNK, CHUNK))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if a < b:
+            low, own = start[a], raw[start[a] : end[b - 1]]
+            up, down = (_powers["up"], _powers["down"]) if _powers and len(own) <= 2 * CHUNK else _upto(len(own))
+            words[a:b] = np.add.reduceat(_BYTE[own] * up[: len(own)], start[a:b] - low) * down[start[a:b] - low]
     words = _mix(words ^ ((end - start).astype(np.uint64) * _BASE))
     n = len(words)
     size = min(width, n)

@@ -150,6 +150,18 @@ def test_jaccard_components(spark, block_tokens):
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_shingles_of_long_texts(monkeypatch):
+    """Texts and words longer than what is hashed at a time have the shingles that they have in one piece."""
+    rnd = random.Random(2)
+    ts = [" ".join(words(rnd, 900)), "x" * 700, "a " + "y" * 900 + " b c\td " + "z" * 40, " " * 300 + "q", ""]
+    whole = [jaccard.shingles(t.encode()) for t in ts]
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    monkeypatch.setattr(jaccard, "_powers", {})
+    for t, want in zip(ts, whole, strict=True):
+        assert np.array_equal(jaccard.shingles(t.encode()), want) and len(want) == len(shingle_set(t))
+    assert len(jaccard._powers["up"]) == 128
+
+
 def flat(sets):
     return np.array([len(x) for x in sets]), np.concatenate(sets)
 
