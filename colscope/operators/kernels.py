@@ -1,7 +1,8 @@
 """Clustering that has no relational form: one group of rows in, (key, cluster) out.
 
-Kernels run in grouped pandas functions, one task a group; groups beyond MOST_ROWS are refused, since they need a number
-of distances that grows with the square of the rows.
+Kernels run in grouped pandas functions, one task a group. HDBSCAN, Ward and single linkage compute the distances of a row
+when they come to it and hold a few numbers a row, whatever their number. Average and complete linkage, consensus, mean shift
+and t-SNE hold a square of distances and refuse groups beyond MOST_ROWS.
 """
 
 from __future__ import annotations
@@ -15,24 +16,86 @@ from pyspark.sql import DataFrame
 from colscope.errors import ClusteringError
 from colscope.functions.constants import K_RANGE, MIN_CLUSTER_SIZE
 
-MOST_ROWS = 12_000
+#: Rows of a square of distances at most; rows whose distances to all others are held at a time.
+MOST_ROWS, BLOCK = 12_000, 256
 
 
 def _matrix(pdf: pd.DataFrame, column: str = "vector") -> np.ndarray:
-    if len(pdf) > MOST_ROWS:
-        raise ClusteringError(f"{len(pdf)} rows in one group; at most {MOST_ROWS}")
     return np.array(pdf[column].tolist(), np.float64).reshape(len(pdf), -1)
 
 
+def _square(n: int) -> None:
+    if n > MOST_ROWS:
+        raise ClusteringError(f"{n} rows in one group; at most {MOST_ROWS}")
+
+
+class Rows:
+    """Distances of some rows to all rows, made when they are asked for."""
+
+    def __init__(self, x: np.ndarray, metric: str = "euclidean"):
+        if metric == "cosine":
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(n == 0, 1, n)
+        self.x, self.cosine = x, metric == "cosine"
+        self.s = (x * x).sum(axis=1)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        product = self.x[at] @ self.x.T
+        if self.cosine:
+            return np.clip(1 - product, 0, None)
+        d = np.sqrt(np.clip(self.s[at][:, None] + self.s[None, :] - 2 * product, 0, None))
+        d[np.arange(len(d)), np.arange(at.start, at.start + len(d))] = 0
+        return d
+
+    def blocks(self):
+        for a in range(0, len(self.x), BLOCK):
+            yield slice(a, min(a + BLOCK, len(self.x)))
+
+
 def distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    if metric == "cosine":
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(n == 0, 1, n)
-        return np.clip(1 - x @ x.T, 0, None)
-    s = (x * x).sum(axis=1)
-    d = np.sqrt(np.clip(s[:, None] + s[None, :] - 2 * x @ x.T, 0, None))
-    np.fill_diagonal(d, 0)
-    return d
+    _square(len(x))
+    return Rows(x, metric)[0 : len(x)]
+
+
+def ward_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges of Ward's linkage, as ``merges`` gives them, from means and sizes instead of distances.
+
+    The squared height of two clusters is 2 n m / (n + m) times the squared distance of their means.
+    """
+    n = len(x)
+    mean, size, alive = x.astype(np.float64).copy(), np.ones(n), np.ones(n, bool)
+    out: list[tuple[int, int, float]] = []
+    chain: list[int] = []
+
+    def row(a: int) -> np.ndarray:
+        gap = mean - mean[a]
+        d = 2 * size * size[a] / (size + size[a]) * np.einsum("ij,ij->i", gap, gap)
+        d[a] = np.inf
+        return np.where(alive, d, np.inf)
+
+    while len(out) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        d = row(chain[-1])
+        b = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            i, j = sorted((chain[-1], chain[-2]))
+            out.append((i, j, math.sqrt(max(float(d[chain[-2]]), 0.0))))
+            mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            alive[j] = False
+            chain = chain[:-2]
+        else:
+            chain.append(b)
+    return sorted(out, key=lambda m: m[2])
+
+
+def single_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges of single linkage: the edges of a spanning tree, lowest first."""
+    return sorted(spanning_tree(Rows(x)), key=lambda m: m[2])
 
 
 def merges(d: np.ndarray, linkage: str = "ward") -> list[tuple[int, int, float]]:
@@ -99,24 +162,35 @@ def cut_tree(n: int, tree: list[tuple[int, int, float]], k: int | None = None, h
     return np.array([names[r] for r in roots], int)
 
 
-def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
-    names, inverse = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
-        return math.nan
-    member = np.eye(len(names))[inverse]
-    sums, size = d @ member, member.sum(axis=0)
-    own = sums[np.arange(len(d)), inverse] / np.maximum(size[inverse] - 1, 1)
-    mean = sums / size
-    mean[np.arange(len(d)), inverse] = np.inf
-    other = mean.min(axis=1)
-    top = np.maximum(own, other)
-    return float(np.where((size[inverse] == 1) | (top == 0), 0, (other - own) / np.where(top == 0, 1, top)).mean())
+def silhouettes(d: Rows, cuts: list[np.ndarray]) -> list[float]:
+    """The mean silhouette of each of several labellings, NaN for one cluster; every distance is made once."""
+    sides = [np.unique(labels, return_inverse=True) for labels in cuts]
+    members = [np.eye(len(names))[inverse] for names, inverse in sides]
+    out = np.zeros(len(cuts))
+    for at in d.blocks():
+        rows = d[at]
+        for k, ((names, inverse), member) in enumerate(zip(sides, members, strict=True)):
+            if len(names) < 2:
+                continue
+            sums, size, mine, row = rows @ member, member.sum(axis=0), inverse[at], np.arange(len(rows))
+            own = sums[row, mine] / np.maximum(size[mine] - 1, 1)
+            mean = sums / size
+            mean[row, mine] = np.inf
+            other = mean.min(axis=1)
+            top = np.maximum(own, other)
+            out[k] += np.where((size[mine] == 1) | (top == 0), 0, (other - own) / np.where(top == 0, 1, top)).sum()
+    return [float(x) / len(d) if len(names) > 1 else math.nan for x, (names, _) in zip(out, sides, strict=True)]
+
+
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    return silhouettes(Rows(x), [labels])[0]
 
 
 def agglomerative(x: np.ndarray, k: int = 5, linkage: str = "ward") -> np.ndarray:
     if len(x) < 2:
         raise ClusteringError("agglomerative clustering needs two rows")
-    return cut_tree(len(x), merges(distances(x), linkage), k=min(k, len(x)))
+    tree = ward_merges(x) if linkage == "ward" else single_merges(x) if linkage == "single" else merges(distances(x), linkage)
+    return cut_tree(len(x), tree, k=min(k, len(x)))
 
 
 def ward_by_silhouette(x: np.ndarray, k_range: tuple[int, int] = K_RANGE) -> tuple[np.ndarray, int, float]:
@@ -124,13 +198,12 @@ def ward_by_silhouette(x: np.ndarray, k_range: tuple[int, int] = K_RANGE) -> tup
     best = (np.zeros(len(x), int), 1, math.nan)
     if len(x) < 3:
         return best
-    d = distances(x)
-    if not d.any():
+    if (x == x[0]).all():
         return best
-    tree = merges(d)
-    for k in range(k_range[0], min(k_range[1], len(x) - 1) + 1):
-        labels = cut_tree(len(x), tree, k=k)
-        s = silhouette(d, labels)
+    tree = ward_merges(x)
+    ks = range(k_range[0], min(k_range[1], len(x) - 1) + 1)
+    cuts = [cut_tree(len(x), tree, k=k) for k in ks]
+    for k, labels, s in zip(ks, cuts, silhouettes(Rows(x), cuts), strict=True):
         if math.isnan(best[2]) or s > best[2]:
             best = (labels, k, s)
     return best
@@ -150,6 +223,7 @@ def mean_shift(x: np.ndarray, bandwidth: float | None = None, quantile: float =
     n = len(x)
     if not n:
         return np.empty(0, int)
+    _square(n)
     if bandwidth is None:
         k = max(int(n * quantile), 1)
         bandwidth = float(np.sort(distances(x), axis=1)[:, min(k, n) - 1].mean())
@@ -172,18 +246,24 @@ def mean_shift(x: np.ndarray, bandwidth: float | None = None, quantile: float =
     return np.argmin(np.stack([((x - p) ** 2).sum(axis=1) for p in kept]), axis=0)
 
 
-def spanning_tree(w: np.ndarray) -> list[tuple[int, int, float]]:
-    """Prim's minimum spanning tree of a distance matrix."""
-    n = len(w)
-    best, source, out = w[0].copy(), np.zeros(n, int), []
+def spanning_tree(d: Rows, core: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Prim's minimum spanning tree of distances, or with core distances of mutual reachability."""
+    n = len(d)
+
+    def row(j: int) -> np.ndarray:
+        w = d[j : j + 1][0]
+        return w if core is None else np.maximum(w, np.maximum(core, core[j]))
+
+    best, source, out = row(0), np.zeros(n, int), []
     free = np.ones(n, bool)
     free[0] = False
     for _ in range(n - 1):
         j = int(np.argmin(np.where(free, best, np.inf)))
         out.append((int(source[j]), j, float(best[j])))
         free[j] = False
-        closer = w[j] < best
-        best[closer], source[closer] = w[j][closer], j
+        w = row(j)
+        closer = w < best
+        best[closer], source[closer] = w[closer], j
     return out
 
 
@@ -196,12 +276,10 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples
     n = len(x)
     if n < max(2, min_cluster_size):
         return np.full(n, -1), math.nan
-    d = distances(x, metric)
+    d = Rows(x, metric)
     k = min(min_samples or min_cluster_size, n - 1)
-    core = np.sort(d, axis=1)[:, k]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    np.fill_diagonal(reach, 0)
-    edges = spanning_tree(reach)
+    core = np.concatenate([np.partition(d[at], k, axis=1)[:, k] for at in d.blocks()])
+    edges = spanning_tree(d, core)
     parent, node, size = list(range(n)), list(range(n)), [1] * n
     children: dict[int, tuple[int, int, float]] = {}
 

@@ -119,7 +119,7 @@ def test_kernels(spark):
     with pytest.raises(ClusteringError):
         kernels.agglomerative(x[:1])
     s = clustering.silhouette(blobs(spark).withColumnRenamed("label", "cluster")).first()["silhouette"]
-    assert abs(s - kernels.silhouette(kernels.distances(x), np.array(want))) < 1e-9
+    assert abs(s - kernels.silhouette(x, np.array(want))) < 1e-9
 
 
 def test_linkage_heights_match_brute_force():
@@ -135,6 +135,31 @@ def test_linkage_heights_match_brute_force():
             assert np.allclose([m[2] for m in kernels.merges(d, linkage)], want)
 
 
+def test_trees_without_squares_of_distances():
+    rnd = np.random.default_rng(6)
+    for n in (2, 3, 40, 300):
+        x = rnd.normal(size=(n, 3))
+        for made, linkage in ((kernels.ward_merges(x), "ward"), (kernels.single_merges(x), "single")):
+            assert np.allclose([m[2] for m in made], [m[2] for m in kernels.merges(kernels.distances(x), linkage)])
+            for k in (1, 2, n // 2 or 1):
+                assert kernels.cut_tree(n, made, k=k).tolist() == kernels.cut_tree(n, kernels.merges(kernels.distances(x), linkage), k=k).tolist()
+    x = rnd.normal(size=(200, 3))
+    d, k = kernels.distances(x), 4
+    core = np.sort(d, axis=1)[:, k]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    np.fill_diagonal(reach, np.inf)
+    assert np.isclose(sum(e[2] for e in kernels.spanning_tree(kernels.Rows(x), core)), sum(m[2] for m in kernels.merges(np.where(np.isinf(reach), 0, reach), "single")))
+
+
+def test_density_clusters_of_many_rows():
+    rnd = np.random.default_rng(7)
+    x = np.vstack([rnd.normal(c, 0.1, (4500, 2)) for c in ((0, 0), (5, 5), (0, 9))])
+    labels, validity = kernels.hdbscan(x, 200, 20)
+    assert len(x) > kernels.MOST_ROWS and validity > 0.5 and sorted(np.bincount(labels[labels >= 0]))[0] > 4000
+    with pytest.raises(ClusteringError):
+        kernels.mean_shift(x)
+
+
 def test_reduction(spark):
     df = blobs(spark)
     r = Reducer("pca", 2)
