@@ -147,6 +147,16 @@ def late_fusion(views: DataFrame, threshold: float = 0.5, linkage: str = "averag
     return keys.join(lists, "key", "left").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "key long, cluster int")
 
 
+def late_fusion_scores(ds: DataFrame, views: dict[str, tuple[float, ...]], threshold: float = 0.5, linkage: str = "average", **options) -> DataFrame:
+    """One scored row: every view clustered by its weights, their consensus scored, without leakage to tables."""
+    found = None
+    for name, weights in views.items():
+        part = run_clustering(ds, weights, **options).select(F.lit(name).alias("view"), "key", "cluster")
+        found = part if found is None else found.unionAll(part)
+    fused = late_fusion(clustering.checkpoint(found), threshold, linkage)
+    return score(ds.join(fused, "key"), "label", "cluster", "key").withColumn("config", F.lit(f"late fusion of {', '.join(views)}"))
+
+
 def alpha_sweep(ds: DataFrame, base: tuple[float, ...], alphas: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     out = None
     for a in alphas:

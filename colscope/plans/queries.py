@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions import text, types, vectors
-from colscope.functions.constants import ABBREVIATIONS, CANONICAL_ORDER, CATEGORY, CONCEPT_CATEGORIES, CONCEPTS, DEFAULT_WEIGHTS, SEVERITY, TEMPERATURE, WORDINGS
+from colscope.functions.constants import ABBREVIATIONS, CANONICAL_ORDER, CATEGORY, CONCEPT_CATEGORIES, CONCEPTS, CONFLICT_WEIGHTS, DEFAULT_WEIGHTS, RECOMMENDATION, SEVERITY, STRUCTURE_WEIGHTS, TEMPERATURE, WORDINGS
 from colscope.functions.embedding import LetterCounts, letter_counts
 from colscope.operators import clustering, features, forest, kernels, partitions
+from colscope.operators.features import sweep_weights
 from colscope.operators.reduction import Reducer
 from colscope.plans import blind, experiments, fixtures, sql
 from colscope.sources import catalog, labels, sinks
@@ -826,6 +828,102 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.stratified_folds(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
+# ── Sinks, scans and block jobs ──
+
+
+@query("verdict_rows", f"WITH {VOTES_SQL} SELECT doc_id AS key, lang AS truth, source AS cluster_id, predicted FROM documents JOIN named USING (source)")
+def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = partitions.name_clusters(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source", "doc_id")
+    return sinks.verdict_rows(named.select(F.col("doc_id").alias("key"), F.col("lang").alias("truth"), F.col("source").alias("cluster"), "predicted"))
+
+
+FAULTS = list(SEVERITY)
+PREDICTED_SQL = f"p AS (SELECT doc_id AS key, ([{', '.join(map(fixtures.literal, FAULTS))}])[1 + (doc_id * doc_id) % {len(FAULTS)}] AS label, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (n_chars % 1000) / 999.0::DOUBLE END AS confidence FROM documents)"
+
+
+@query("health_rows", f"""WITH {PREDICTED_SQL}, u AS (SELECT label, count(*) AS support FROM p GROUP BY 1 HAVING count(*) % 2 = 0),
+s AS ({fixtures.values(["label", "severity", "recommendation"], [(k, v, RECOMMENDATION[k]) for k, v in SEVERITY.items()])})
+SELECT key, p.label AS predicted_label, round(confidence, 4) AS confidence, severity::INTEGER AS severity, coalesce(support < 5, true) AS low_support, recommendation FROM p JOIN s USING (label) LEFT JOIN u USING (label)""")
+def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict a row as the health file holds it; every other label has no support in the reference."""
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(*[F.lit(x) for x in FAULTS])
+    confidence = F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("n_chars") % 1000) / F.lit(999.0))
+    rows = docs.select(F.col("doc_id").alias("key"), F.get(names, ((F.col("doc_id") * F.col("doc_id")) % len(FAULTS)).cast("int")).alias("predicted"), confidence.alias("confidence"))
+    support = rows.groupBy(F.col("predicted").alias("label")).agg(F.count("*").alias("support")).where("support % 2 = 0")
+    return sinks.health_rows(forest.verdicts(rows, support))
+
+
+@query("replace_block", "SELECT vec_id AS key, dim, round(v, 6) + 0 AS value FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS dim, unnest(list_reverse(embedding))::DOUBLE AS v FROM embeddings)")
+def replace_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).withColumnRenamed("vector", "e_conflict")
+    return flat(features.with_block(rows, F.reverse("e_conflict")), ["key"], "e_conflict")
+
+
+@query("block_check", "SELECT count(*) AS n, min(len(embedding))::INTEGER AS low, max(len(embedding))::INTEGER AS high FROM embeddings")
+def block_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of the blocks' rows passes, or is an error; what it saw."""
+    rows = points(spark, sf_dir).withColumnRenamed("vector", "e_text")
+    features.assert_blocks(rows, ["e_text", "e_type"])
+    return rows.agg(F.count("*").alias("n"), F.min(F.size("e_text")).alias("low"), F.max(F.size("e_text")).alias("high"))
+
+
+@query("owner_names", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE upper(c_mktsegment) END AS owner FROM customer")
+def owner_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners as they are typed: quoted, in small letters, or between blanks."""
+    k, word = F.col("c_custkey") % 3, F.lower("c_mktsegment")
+    typed = F.when(k == 0, F.concat(F.lit('"'), word, F.lit('"'))).when(k == 1, word).otherwise(F.concat(F.lit("  "), word, F.lit(" ")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), text.owner_name(typed).alias("owner"))
+
+
+@query("prefixed_document", f"SELECT pos, 'query: ' || document AS document FROM ({ORACLE_SQL['column_document']})")
+def prefixed_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_rows(spark).select("pos", text.document(prefix="query: ").alias("document"))
+
+
+@query("corpus_scan", f"SELECT upper(trim(tab)) AS table_name, upper(trim(col)) AS column_name, data_type, label, row::BIGINT AS pos FROM ({RAW_SQL})")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.corpus_columns(raw_labels(spark))
+
+
+@query("stored_blocks", f"SELECT key, dim, round(x, 6) + 0 AS value FROM ({sql.long_form(PART_BLOCKS['e_text'], 'key', 'v')})")
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks written and read again: in double width, whatever they were made in."""
+    clustering.checkpoint(spark.range(1))  # a folder must be named
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/blocks-{uuid.uuid4().hex}"
+    blocks = part_blocks(spark, sf_dir).select("key", F.col("e_text").cast("array<double>").alias("e_text"))
+    sinks.write_blocks(blocks, folder, {"made_by": "stored_blocks"})
+    return flat(sinks.read_blocks(spark, folder), ["key"], "e_text")
+
+
+@query("view_sizes", f"WITH e AS ({NOISY}), v AS (SELECT 0 AS view, cluster FROM e UNION ALL SELECT 1, key % 50 FROM e UNION ALL SELECT 2, label * 7 + key % 7 FROM e) SELECT view, cluster::INTEGER AS cluster, count(*) AS n FROM v GROUP BY 1, 2")
+def view_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views stacked into one table, as consensus reads them."""
+    return three_views(spark, sf_dir).groupBy("view", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("k_distances", f"WITH e AS ({NOISY}), d AS (SELECT a.key, b.key AS k, CASE WHEN a.key = b.key THEN 0 ELSE {_DIST} END AS d FROM e a, e b), r AS (SELECT key, d, row_number() OVER (PARTITION BY key ORDER BY d, k) AS r FROM d) SELECT key AS q, round(max(d), 6) AS d FROM r WHERE r <= 6 GROUP BY 1")
+def k_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clustering.k_distances(points(spark, sf_dir)), "d")
+
+
+@query("svd_lengths", "SELECT vec_id AS key, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length FROM embeddings")
+def svd_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many singular directions as numbers turn the vectors and keep their lengths."""
+    rows = points(spark, sf_dir)
+    width = rows.select(F.size("vector").alias("w")).first()["w"]
+    return rounded(Reducer("svd", width).fit_transform(rows).select("key", vectors.norm(F.col("reduced")).alias("length")), "length")
+
+
+@query("pca_lengths", """WITH l AS (SELECT vec_id AS key, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT dim, avg(x) AS m FROM l GROUP BY 1)
+SELECT key, round(sqrt(sum((x - m) ** 2)), 6) AS length FROM l JOIN m USING (dim) GROUP BY 1""")
+def pca_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many principal directions as numbers turn the centred vectors and keep their lengths."""
+    rows = points(spark, sf_dir)
+    width = rows.select(F.size("vector").alias("w")).first()["w"]
+    return rounded(Reducer("pca", width).fit_transform(rows).select("key", vectors.norm(F.col("reduced")).alias("length")), "length")
+
+
 # ── Learned and iterative operators: no SQL form ──
 
 
@@ -929,3 +1027,32 @@ def algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = dataset(spark)
     return experiments.compare_algorithms(ds, clustering.checkpoint(experiments.reduced(ds, DEFAULT_WEIGHTS)))
 
+
+@query("evaluate")
+def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.evaluate("fused", dataset(spark), DEFAULT_WEIGHTS)
+
+
+@query("alpha_sweep")
+def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.alpha_sweep(dataset(spark), DEFAULT_WEIGHTS)
+
+
+@query("late_fusion_scores")
+def late_fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.late_fusion_scores(dataset(spark), {"document": sweep_weights(1.0, DEFAULT_WEIGHTS), "structure": STRUCTURE_WEIGHTS, "conflict": CONFLICT_WEIGHTS})
+
+
+@query("health_reference")
+def health_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the written-out catalog by a forest that did not see the row."""
+    ds = features.raw_features(dataset(spark))
+    return sinks.health_rows(forest.verdicts(forest.out_of_fold(ds, "label", "key"), forest.label_support(ds, "label")))
+
+
+@query("health_target")
+def health_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on a target by a forest of the reference; here the target is the reference."""
+    ds = features.raw_features(dataset(spark))
+    model, names = forest.fit_forest(ds, "label")
+    return sinks.health_rows(forest.verdicts(forest.predict(model, names, ds.drop("label")), forest.label_support(ds, "label")))
