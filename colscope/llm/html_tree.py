@@ -266,10 +266,14 @@ def fit(pages: list[Page], rounds: int = 40, rate: float = 0.4, decay: float = 1
 
 
 class _Author:
-    """Writes labelled pages in many layouts; data-y marks what is content or holds it."""
+    """Writes labelled pages in many layouts; data-y marks what is content or holds it.
 
-    def __init__(self, seed: int):
-        self.rnd = random.Random(seed)
+    Half of the pages name their parts by words of HINTS; the others give no names, or names that mean nothing, so that
+    elements, links and shapes of text are learned for themselves.
+    """
+
+    def __init__(self, seed: int, naming: str | None = None):
+        self.rnd, self.fixed, self.naming = random.Random(seed), naming, naming
 
     def words(self, n: int) -> list[str]:
         r = self.rnd
@@ -283,7 +287,9 @@ class _Author:
         return " ".join(out)
 
     def el(self, tag: str, y: int, inner: str, names: str = "") -> str:
-        attr = f' {self.rnd.choice(("class", "id"))}="{names}"' if names else ""
+        if names and self.naming == "odd":
+            names = "".join(self.rnd.choice("qxzkvwjy") for _ in range(5))
+        attr = f' {self.rnd.choice(("class", "id"))}="{names}"' if names and self.naming != "none" else ""
         return f'<{tag}{attr} data-y="{y}">{inner}</{tag}>'
 
     def items(self, y: int, linked: float, low: int = 2, high: int = 7) -> str:
@@ -314,7 +320,7 @@ class _Author:
         r, out = self.rnd, []
         if r.random() < 0.85:
             out.append(self.el(r.choice(("h1", "h1", "h2")), 1, " ".join(self.words(r.randint(1, 9))).capitalize()))
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice((1, 1, r.randint(1, 9), r.randint(1, 9), r.randint(1, 9)))):
             x = r.random()
             if x < 0.62:
                 out.append(self.el("p", 1, r.choice(("", "<b>", "<i>x</i>")) + self.prose(1, 5)))
@@ -339,6 +345,7 @@ class _Author:
 
     def page(self) -> str:
         r = self.rnd
+        self.naming = self.fixed or r.choice(("plain", "plain", "none", "odd"))
         tag, name = r.choice((("article", ""), ("article", ""), ("main", ""), ("div", "content"), ("div", "post entry"), ("div", "main"), ("section", "story"), ("div", "article-body"), ("div", "")))
         inside = self.content() + (self.boiler("comment") if r.random() < 0.15 else "")
         main = self.el(tag, 1, inside, name)
@@ -350,9 +357,9 @@ class _Author:
         return f'<html data-y="1"><head data-y="0"><title>x</title></head><body data-y="1">{"".join(before)}{main}{"".join(after)}</body></html>'
 
 
-def labelled_pages(n: int, seed: int) -> list[Page]:
-    """Training pages written for the purpose, marked node by node."""
-    author = _Author(seed)
+def labelled_pages(n: int, seed: int, naming: str | None = None) -> list[Page]:
+    """Training pages written for the purpose, marked node by node; ``naming`` is plain, none, odd, or by default any."""
+    author = _Author(seed, naming)
     pages = [parse(author.page()) for _ in range(n)]
     for p in pages:
         p.nodes[0].mark = 1
@@ -360,8 +367,8 @@ def labelled_pages(n: int, seed: int) -> list[Page]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 220, seed: int = 5) -> Model:
-    return fit(labelled_pages(n, seed))
+def trained(n: int = 440, seed: int = 5) -> Model:
+    return fit(labelled_pages(n, seed), rounds=50)
 
 
 def main_text(source: str | None, model: Model) -> str:
