@@ -37,16 +37,16 @@ def test_catalog(spark, tmp_path):
     got = {(r["table_name"], r["column_name"]): r for r in rows.collect()}
     assert len(got) == 24 and ("VISTA_X", "ID") not in got
     assert [r["pos"] for r in rows.orderBy("table_name", "column_id").collect()] == list(range(24))
-    assert got["DEPARTAMENTOS", "PERSONA_ID"]["fk_references_table"] == "PERSONAS"
-    assert got["EMPLEADOS", "EMP_ID"]["is_primary_key"] and got["EMPLEADOS", "EMP_ID"]["is_indexed"] and not got["EMPLEADOS", "EMP_ID"]["is_unique"]
-    assert got["EMPLEADOS", "SALARIO"]["char_length"] is None and got["EMPLEADOS", "SALARIO"]["comments"] == "Bruto al mes. "
+    assert got["BIBLIOTECAS", "SOCIO_ID"]["fk_references_table"] == "SOCIOS"
+    assert got["LECTORES", "EMP_ID"]["is_primary_key"] and got["LECTORES", "EMP_ID"]["is_indexed"] and not got["LECTORES", "EMP_ID"]["is_unique"]
+    assert got["LECTORES", "CUOTA"]["char_length"] is None and got["LECTORES", "CUOTA"]["comments"] == "Bruto al mes. "
     catalog.snapshot(views, str(tmp_path))
     assert catalog.catalog(catalog.parquet_views(spark, str(tmp_path)), "APP").count() == 24
     with pytest.raises(CatalogError):
         catalog.catalog({k: v for k, v in views.items() if k != "all_tables"}, "APP")
     with pytest.raises(ConnectionFailed):
         catalog.jdbc_views(spark, {"url": "jdbc:none:x", "driver": "no.Such"}, "APP")
-    assert catalog.catalog_json(rows).where(F.col("json").contains('"column_name":"SALARIO"')).count() == 1
+    assert catalog.catalog_json(rows).where(F.col("json").contains('"column_name":"CUOTA"')).count() == 1
     assert catalog.catalog(views, "NOBODY").count() == 0
 
 
@@ -73,8 +73,8 @@ def test_feature_job_and_sinks(spark, tmp_path):
     rows = catalog.catalog(fixtures.views(spark), "APP")
     blocks = build_blocks(rows, LetterCounts, mismatch=True, prefix="query: ")
     got = {r["column_name"]: r for r in blocks.collect()}
-    assert got["SALARIO"]["document"] == "query: tabla empleados, columna salario, tipo numero decimal con 12 digitos y 2 decimales, admite nulos, indexada. La tabla contiene: Personas que trabajan aqui. Bruto al mes."
-    widths = {c: len(got["SALARIO"][c]) for c in ("e_text", "e_type", "e_rest", "e_stat", "e_table", "e_conflict", "e_name", "name_intrinsic")}
+    assert got["CUOTA"]["document"] == "query: tabla lectores, columna cuota, tipo numero decimal con 12 digitos y 2 decimales, admite nulos, indexada. La tabla contiene: Personas que leen aqui. Bruto al mes."
+    widths = {c: len(got["CUOTA"][c]) for c in ("e_text", "e_type", "e_rest", "e_stat", "e_table", "e_conflict", "e_name", "name_intrinsic")}
     assert widths == {"e_text": 27, "e_type": 12, "e_rest": 5, "e_stat": 1, "e_table": 5, "e_conflict": 14, "e_name": 26, "name_intrinsic": 2}
     assert use_wording(blocks, "W3").first()["e_conflict"] is not None
     assert len(build_blocks(rows, LetterCounts, text="anchors").first()["e_text"]) == 12

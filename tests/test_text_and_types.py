@@ -16,8 +16,8 @@ def test_names(spark, name, want):
 
 
 def test_name_with_table_and_comment(spark):
-    got = one(spark, text.full_name(F.col("n"), F.col("t"), F.col("c")), n="FECHA", t="EMPLEADOS", c=" dia ")
-    assert got == "empleados: fecha | dia"
+    got = one(spark, text.full_name(F.col("n"), F.col("t"), F.col("c")), n="FECHA", t="LECTORES", c=" dia ")
+    assert got == "lectores: fecha | dia"
     assert one(spark, text.full_name(F.col("n"), F.col("t"), F.col("c")), n="FECHA", t=None, c="  ") == "fecha"
 
 
