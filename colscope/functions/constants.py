@@ -146,3 +146,20 @@ RECOMMENDATION = {
     "eav": "Model entities and attributes as columns or tables instead of generic values.",
     "polymorphic": "Split the reference by entity type, or use an association table.",
 }
+
+#: Sentences for declared types, by patterns of their names; a sentence with a number that is missing or zero
+#: gives way to the next.
+TYPE_SENTENCES = (
+    ("VARCHAR2|VARCHAR|NVARCHAR2", "texto de longitud variable de hasta {length} caracteres"),
+    ("VARCHAR2|VARCHAR|NVARCHAR2", "texto de longitud variable"),
+    ("CHAR|NCHAR", "texto de longitud fija de {length} caracteres"),
+    ("CHAR|NCHAR", "texto de longitud fija"),
+    ("NUMBER|NUMERIC|DECIMAL|FLOAT|BINARY_DOUBLE|BINARY_FLOAT", "numero decimal con {digits} digitos y {scale} decimales"),
+    ("NUMBER|NUMERIC|DECIMAL|FLOAT|BINARY_DOUBLE|BINARY_FLOAT", "numero entero"),
+    ("DATE", "fecha"),
+    ("TIMESTAMP.*", "marca de tiempo"),
+    ("INTERVAL.*", "intervalo de tiempo"),
+    ("CLOB|NCLOB", "texto largo sin limite de longitud"),
+    ("LONG", "texto largo en el tipo heredado LONG"),
+    ("BLOB|RAW|LONG RAW|BFILE", "datos binarios"),
+)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colscope.functions.constants import ABBREVIATIONS, ABBREVIATIONS_ES, JOINERS, PREFIXES
+from colscope.functions.constants import ABBREVIATIONS, ABBREVIATIONS_ES, JOINERS, PREFIXES, TYPE_SENTENCES
 
 _EDGES = ".,;:!?()[]{}"
 _LOW, _UP = "a-záéíóúñ", "A-ZÁÉÍÓÚÑ"
@@ -63,27 +65,17 @@ def full_name(name: Column, table: Column | None = None, comment: Column | None
 
 
 def type_prose(data_type: Column, length: Column, precision: Column, scale: Column) -> Column:
-    """A declared type in Spanish words."""
-    t = F.upper(F.trim(F.coalesce(data_type, F.lit(""))))
-    sized = F.coalesce(length, F.lit(0)) != 0
-    scaled = F.coalesce(scale, F.lit(0)) != 0
-    digits = F.coalesce(F.nullif(precision, F.lit(0)).cast("string"), F.lit("varios"))
-    return (
-        F.when(t.isin("VARCHAR2", "VARCHAR", "NVARCHAR2") & sized, F.concat(F.lit("texto de longitud variable de hasta "), length.cast("string"), F.lit(" caracteres")))
-        .when(t.isin("VARCHAR2", "VARCHAR", "NVARCHAR2"), "texto de longitud variable")
-        .when(t.isin("CHAR", "NCHAR") & sized, F.concat(F.lit("texto de longitud fija de "), length.cast("string"), F.lit(" caracteres")))
-        .when(t.isin("CHAR", "NCHAR"), "texto de longitud fija")
-        .when(t.isin("NUMBER", "NUMERIC", "DECIMAL", "FLOAT", "BINARY_DOUBLE", "BINARY_FLOAT") & scaled, F.concat(F.lit("numero decimal con "), digits, F.lit(" digitos y "), scale.cast("string"), F.lit(" decimales")))
-        .when(t.isin("NUMBER", "NUMERIC", "DECIMAL", "FLOAT", "BINARY_DOUBLE", "BINARY_FLOAT"), "numero entero")
-        .when(t == "DATE", "fecha")
-        .when(t.startswith("TIMESTAMP"), "marca de tiempo")
-        .when(t.startswith("INTERVAL"), "intervalo de tiempo")
-        .when(t.isin("CLOB", "NCLOB"), "texto largo sin limite de longitud")
-        .when(t == "LONG", "texto largo en el tipo heredado LONG")
-        .when(t.isin("BLOB", "RAW", "LONG RAW", "BFILE"), "datos binarios")
-        .when(t != "", F.lower(t))
-        .otherwise("tipo desconocido")
-    )
+    """A declared type in Spanish words: the first sentence of TYPE_SENTENCES that fits it and has all its numbers."""
+    declared = F.upper(F.trim(F.coalesce(data_type, F.lit(""))))
+    numbers = {"length": F.nullif(length, F.lit(0)).cast("string"), "digits": F.coalesce(F.nullif(precision, F.lit(0)).cast("string"), F.lit("varios")), "scale": F.nullif(scale, F.lit(0)).cast("string")}
+
+    def sentence(words: str) -> Column:
+        """Null if a number is missing."""
+        parts = re.split(r"[{}]", words)
+        return F.concat(*[numbers[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+    fitting = [F.when(declared.rlike(f"^({pattern})$"), sentence(words)) for pattern, words in TYPE_SENTENCES]
+    return F.coalesce(*fitting, F.nullif(F.lower(declared), F.lit("")), F.lit("tipo desconocido"))
 
 
 def constraint_prose() -> Column:

@@ -39,8 +39,9 @@ def label_form(columns: DataFrame) -> DataFrame:
     return columns.select(F.col("table_name").alias("table"), F.col("column_name").alias("column"), "data_type", F.lit("").alias("label"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="")
+def write_csv(df: DataFrame, path: str, parts: int | None = 1) -> None:
+    """CSV with a header in a folder: one file, as catalogs are small; None leaves the files of a large table to Spark."""
+    (df if parts is None else df.coalesce(parts)).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
 def create_table_statements(columns: DataFrame, keys: DataFrame) -> DataFrame:
