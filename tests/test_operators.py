@@ -322,3 +322,17 @@ def test_average_roots_match_the_tree():
         assert len(got) == len(at) and all(got[g] == g for g in got)
     far = kernels.average_roots([["a"], ["a", "b"], ["c"]], np.array([1, 1, 1]), 2, 0.6)
     assert far.tolist() == [0, 0, 2]
+
+
+def test_table_naming_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr("colscope.operators.blocks.BLOCK", 4)
+    rows = [(i, "ab"[i // 12], str(i % 7), [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(24)]
+    df = spark.createDataFrame(rows, "key long, t string, name string, v array<double>")
+    met = []
+    monkeypatch.setattr(features, "_clashes", lambda rows, clashes=features._clashes: met.append(1) or clashes(rows))
+    signals = features.sibling_signals(df, "key", "t", "name", "v").withColumns({c: F.lit(0.0) for c in ("emptiness", "divergence", "conflicting")})
+    got = {r["t"]: r for r in features.table_naming(signals, "t").collect()}
+    u = {i: np.array(v) / np.linalg.norm(v) for i, _, _, v in rows}
+    for t in "ab":
+        own = [r for r in rows if r[1] == t]
+        assert met and abs(got[t]["clash"] - max(u[a[0]] @ u[b[0]] for a in own for b in own if a[2] != b[2])) < 1e-12
