@@ -365,3 +365,26 @@ def test_ward_silhouettes_are_dealt(spark):
     assert np.allclose(np.sum(parts, axis=0) / 45, want) and kernels.best_cut(want) == 1
     for rows in (0, 1, 2):
         assert experiments.ward(blobs(spark).limit(rows)).count() == rows
+
+
+def test_mean_shift_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "MOST_ROWS", 20)  # no square of rows is held
+    x = np.array([r["vector"] for r in blobs(spark).orderBy("key").collect()])
+    for bandwidth in (None, 1.0):
+        want = kernels.mean_shift(x, bandwidth)
+        assert labels_of(kernels.cluster(blobs(spark).select("key", "vector"), "meanshift", bandwidth=bandwidth)) == want.tolist()
+        wide = bandwidth or float(np.sort(kernels.Rows(x).rows(np.arange(45)), axis=1)[:, 12].mean())
+        peaks = {}
+        for p in x:
+            for _ in range(300):
+                near = x[((x - p) ** 2).sum(axis=1) <= wide**2]
+                if np.linalg.norm(near.mean(axis=0) - p) < 1e-3 * wide:
+                    break
+                p = near.mean(axis=0)
+            peaks[tuple(p)] = len(near)
+        kept = []
+        for p in map(np.array, sorted(peaks, key=lambda p: (peaks[p], p), reverse=True)):
+            if all(np.linalg.norm(p - q) > wide for q in kept):
+                kept.append(p)
+        assert want.tolist() == np.argmin([((x - p) ** 2).sum(axis=1) for p in kept], axis=0).tolist()
+    assert kernels.cluster(blobs(spark).limit(0).select("key", "vector"), "meanshift").count() == 0
