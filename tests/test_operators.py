@@ -388,3 +388,21 @@ def test_mean_shift_is_dealt(spark, monkeypatch):
                 kept.append(p)
         assert want.tolist() == np.argmin([((x - p) ** 2).sum(axis=1) for p in kept], axis=0).tolist()
     assert kernels.cluster(blobs(spark).limit(0).select("key", "vector"), "meanshift").count() == 0
+
+
+def test_one_forest_at_a_time(spark, monkeypatch):
+    import weakref
+
+    models, fit = [], forest.fit_forest
+
+    def watched(*args):
+        assert all(m() is None for m in models)
+        model, names = fit(*args)
+        models.append(weakref.ref(model))
+        return model, names
+
+    monkeypatch.setattr(forest, "fit_forest", watched)
+    found = forest.out_of_fold(blobs(spark).withColumn("raw", F.col("vector")), "label", "key", 3, 4)
+    assert len(models) == 3 and all(m() is None for m in models)
+    assert "UDF" not in found._jdf.queryExecution().optimizedPlan().toString()  # no model in the plan
+    assert found.count() == 45
