@@ -422,3 +422,15 @@ def test_grid_shares_spanning_trees():
 
 def test_blocks_of_distances_stay_small():
     assert max(at.stop - at.start for at in kernels.Rows(np.zeros((100_000, 1))).blocks()) * 100_000 <= 1 << 21
+
+
+def test_core_distances_keep_no_blocks(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(kernels, "spanning_tree", lambda d, core: core)
+    x = np.random.default_rng(1).normal(size=(3000, 2))
+    tracemalloc.start()
+    kernels.density_edges(x, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6  # a square would take 72 MB
