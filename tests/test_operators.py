@@ -471,3 +471,20 @@ def test_tsne_forces(monkeypatch):
     few, share = kernels.tsne_neighbours(x, np.arange(5), 10.0)
     d = kernels.Rows(x).rows(np.arange(5))
     assert few.shape == share.shape == (5, 31) and all(set(few[i]) == set(np.argsort(d[i])[1:32]) for i in range(5))
+
+
+def test_ward_search_stays_in_tiles():
+    import tracemalloc
+
+    mean, todo = np.random.default_rng(4).normal(size=(20_000, 3)), np.arange(300, 600)
+    size = np.where(np.arange(20_000) % 3 == 0, 2.0, 1.0)
+    todo = todo[np.argsort(size[todo], kind="stable")]
+    tracemalloc.start()
+    near, far = kernels._ward_nearest(mean, size, todo)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6  # a block of rows by all clusters would take 20 MB and as much again for its weights
+    for i, j, h in zip(todo, near, far, strict=True):
+        d = 2 * size[i] * size / (size[i] + size) * ((mean - mean[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert j == d.argmin() and abs(h - d[j]) < 1e-12
